@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["records", "baskets", "mixture", "vectors", "clusters", "leaks"]
+MODULES = ["records", "baskets", "mixture", "vectors", "clusters", "leaks", "truncation"]
 
 
 def registry() -> tuple[dict, dict]:
