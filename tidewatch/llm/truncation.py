@@ -37,7 +37,13 @@ EPOCHS = 6
 RATE = 0.25
 DECAY = 2e-6
 THRESHOLD = 0.5
+#: A whole text scored above this by the other half's model isn't trusted as a negative.
+DISTRUST = 0.25
+CLEANINGS = 3
 CUTS = 2
+#: Share of the artificial cuts that get a mark of omission, as some fields add one.
+MARKED = 0.2
+MARKS = ("…", "...")
 #: A length counts as a source's limit if at least so many of its texts have exactly this length.
 LIMIT_TEXTS = 3
 TOKEN = re.compile(r"[^\W_]+")
@@ -75,6 +81,8 @@ def closing_features(text: str, kind: str | None, limit: str) -> tuple[list[int]
     final = t[-1:] if not ends_word else _shape(t[-1:])
     opened = "".join(str(x) for x in (t.count("```") % 2, (line.count("`") % 2), line.count('"') % 2, int(line.count("(") > line.count(")")), line.count("'") % 2))
     k = kind or "-"
+    hexed = re.search(r"(?<![0-9a-z])[0-9a-f]{12,}$", low)
+    digest = "no" if not hexed else "full" if len(hexed[0]) in (32, 40, 64) else "part"
     names = [
         "bias", f"k:{k}", f"e1:{final}", f"e1k:{k}|{final}", f"e3:{_shape(t[-3:])}", f"e5:{_shape(t[-5:])}", f"c3:{low[-3:]}", f"c5:{low[-5:]}",
         f"w1:{' '.join(toks[-1:])}|{final}", f"w2:{' '.join(toks[-2:])}|{final}", f"w1k:{k}|{last}",
@@ -82,7 +90,7 @@ def closing_features(text: str, kind: str | None, limit: str) -> tuple[list[int]
         f"ll:{_size(len(line))}|{int(ends_word)}", f"ls:{_size(len(TOKEN.findall(sent)))}|{int(ends_word)}", f"lsk:{k}|{_size(len(TOKEN.findall(sent)))}|{final}",
         f"lt:{min(len(toks), 6)}|{k}|{int(ends_word)}", f"open:{opened}", f"wl:{min(len(last), 8)}|{int(ends_word)}",
         f"lim:{limit}|{int(ends_word)}", f"lim:{limit}", f"one:{int(len(lines) == 1)}|{k}",
-        f"rep:{int('�' in t[-4:])}", f"lone:{head}|{len(line.split())}" if len(line.split()) <= 4 else "long",
+        f"rep:{int('�' in t[-4:])}", f"hex:{digest}", f"lone:{head}|{len(line.split())}" if len(line.split()) <= 4 else "long",
     ]
     return [_bucket(x) for x in names], last
 
@@ -153,6 +161,8 @@ def training_rows(sample: DataFrame) -> DataFrame:
                 f, last = closing_features(text, kind, place)
                 rows.append((h % 2, 0, f, last, kind))
                 for c in cut_places(text, rng, CUTS):
+                    if rng.random() < MARKED:
+                        c = c.rstrip() + MARKS[int(rng.integers(len(MARKS)))]
                     where = place if place == "none" else ("at" if rng.random() < 0.6 else "under")
                     f, last = closing_features(c, kind, where)
                     rows.append((h % 2, 1, f, last, kind))
@@ -203,12 +213,12 @@ def train(docs: DataFrame, counts: DataFrame) -> np.ndarray | None:
     if y.min() == y.max():
         return None
     keep = np.ones(len(y), bool)
-    for _ in range(2):
-        clean = keep.copy()
+    for _ in range(CLEANINGS):
+        clean = np.ones(len(y), bool)
         for f in (0, 1):
             a, b = (fold == f) & keep, fold != f
             if a.any() and b.any() and y[a].min() != y[a].max():
-                clean[b] = (y[b] == 1) | (scores(fit(x[a], y[a]), x[b]) < THRESHOLD)
+                clean[b] = (y[b] == 1) | (scores(fit(x[a], y[a]), x[b]) < DISTRUST)
         keep = clean
     return fit(x[keep], y[keep])
 
@@ -245,7 +255,7 @@ def score_all(docs: DataFrame, counts: DataFrame, w: np.ndarray) -> DataFrame:
 
     extra = F.pandas_udf(add, "double")(F.col("rare"), F.col("kind"))
     logit = F.col("base") + extra
-    return joined.select("doc_id", "source", F.when(F.isnan("base"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+    return joined.select("doc_id", "source", F.when(F.col("base").isNull() | F.isnan("base"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
