@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["addresses"]
+MODULES = ["addresses", "commands", "sessions"]
 
 
 def registry() -> tuple[dict, dict]:
