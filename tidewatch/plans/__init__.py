@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["addresses", "commands", "sessions"]
+MODULES = ["addresses", "commands", "sessions", "ips", "vectors"]
 
 
 def registry() -> tuple[dict, dict]:
