@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["addresses", "commands", "sessions", "ips", "vectors"]
+MODULES = ["addresses", "commands", "sessions", "ips", "vectors", "campaigns"]
 
 
 def registry() -> tuple[dict, dict]:
