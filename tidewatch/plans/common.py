@@ -24,13 +24,9 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def slim_sessions(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """As sessions, with only `cols` read and moved."""
-    s = table(spark, d, "sessions_rollup").select("sensor", "session_id", "rolled_up_at", "login_fail_count", *[F.col(c).alias(c.replace(".", "_")) for c in cols])
     names = [c.replace(".", "_") for c in cols]
-    return (
-        s.groupBy("sensor", "session_id")
-        .agg(F.max_by(F.struct(*names), F.struct("rolled_up_at", "login_fail_count")).alias("v"))
-        .select("sensor", "session_id", *[F.col(f"v.{c}").alias(c) for c in names])
-    )
+    s = table(spark, d, "sessions_rollup").select("sensor", "session_id", F.struct("rolled_up_at", "login_fail_count").alias("at"), F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)]).alias("v"))
+    return s.groupBy("sensor", "session_id").agg(F.max_by("v", "at").alias("v")).select("sensor", "session_id", *[F.col(f"v.{c}").alias(c) for c in names])
 
 
 def command_events(spark: SparkSession, d: str) -> DataFrame:
