@@ -6,6 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,25 @@ def build_session(master: str | None = None, app: str = "tidewatch", **extra: st
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that Arrow functions load wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tidewatch-pkg-")  # read by the driver alone; Spark hands the file on
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, f"{root.name}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared checkpoint folder; only where none is set (tests), make one."""
     if spark.conf.get("spark.checkpoint.dir", None):
