@@ -189,7 +189,7 @@ SQL = {
         SELECT p AS playbook_id, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard, CAST(count(*) FILTER (b AND NOT a) AS INTEGER) AS added, CAST(count(*) FILTER (a AND NOT b) AS INTEGER) AS removed, count(*) FILTER (a AND b) / count(*) < 0.5 AS drift FROM f GROUP BY 1""",
     "drift_geo": f"""WITH n AS (SELECT playbook_id AS p, run, source.asn.number AS a, count(*) AS n FROM {_D} WHERE playbook_id IS NOT NULL AND source.asn.number IS NOT NULL GROUP BY 1, 2, 3),
         e AS (SELECT p, min(run) AS r0, max(run) AS r1 FROM n GROUP BY 1 HAVING min(run) < max(run)), v AS (SELECT p, a, coalesce(sum(n) FILTER (run = r0), 0) AS x, coalesce(sum(n) FILTER (run = r1), 0) AS y FROM n JOIN e USING (p) GROUP BY 1, 2)
-        SELECT p AS playbook_id, round(1 - sum(x * y) / sqrt(sum(x * x)::DOUBLE * sum(y * y)), 6) AS distance FROM v GROUP BY 1""",
+        SELECT p AS playbook_id, round(1 - sum(x * y) / sqrt(sum(x * x)::DOUBLE * sum(y * y)), 6) + 0 AS distance FROM v GROUP BY 1""",
     "drift_size": f"""WITH n AS (SELECT playbook_id AS p, run, count(DISTINCT source.ip) AS n FROM {_D} WHERE playbook_id IS NOT NULL GROUP BY 1, 2), g AS (SELECT p, arg_min(n, run) AS a, arg_max(n, run) AS b FROM n GROUP BY 1 HAVING count(*) > 1)
         SELECT p AS playbook_id, a AS first_addresses, b AS last_addresses, b - a >= 3 AND (a = 0 OR (b - a) / a >= 0.75) AS drift FROM g""",
     "resurgence": f"""WITH g AS (SELECT source.ip AS ip, started_at, (epoch_us(started_at) - epoch_us(lag(started_at) OVER (PARTITION BY source.ip ORDER BY started_at, sensor, session_id))) // 3600000000 AS hours FROM {SESS} WHERE source.ip IS NOT NULL)

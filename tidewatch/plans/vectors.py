@@ -201,15 +201,15 @@ _CENT = f"""c AS (SELECT *, {_NOISE} AS noise, cluster.id AS cid FROM {_U}), m A
 _BEST = f"{_CENT}, best AS (SELECT c.command_hash, noise, u, cent.cid AS label, v, list_cosine_similarity(u, v) AS cos FROM c, cent QUALIFY row_number() OVER (PARTITION BY command_hash ORDER BY round(list_cosine_similarity(u, v), 12) DESC, cent.cid) = 1)"
 SQL = {
     "vec_norm": f"SELECT vec_id, round({_N.format('embedding')}, 5) AS norm, CASE WHEN {_N.format('embedding')} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS unit_norm FROM embeddings",
-    "label_centroids": "SELECT label, CAST(i AS INTEGER) AS pos, round(avg(embedding[i + 1]::DOUBLE), 5) AS value FROM embeddings, range(64) t(i) GROUP BY 1, 2",
-    "command_centroids": f"WITH {_CENT} SELECT cid AS cluster_id, CAST(pos AS INTEGER) AS pos, round(value, 5) AS value FROM m",
+    "label_centroids": "SELECT label, CAST(i AS INTEGER) AS pos, round(avg(embedding[i + 1]::DOUBLE), 5) + 0 AS value FROM embeddings, range(64) t(i) GROUP BY 1, 2",
+    "command_centroids": f"WITH {_CENT} SELECT cid AS cluster_id, CAST(pos AS INTEGER) AS pos, round(value, 5) + 0 AS value FROM m",
     "vec_pool": f"""WITH c AS (SELECT command_hash, u, greatest(ln(100001 / (greatest(least(coalesce(occurrence_count, 1), 100000), 1) + 1)), 0.0001) AS w FROM {_U}),
         p AS (SELECT sensor, session_id, i AS pos, sum(u[i + 1] * w) AS y FROM (SELECT DISTINCT sensor, session_id, h FROM {CMD}) JOIN c ON h = command_hash, range(96) t(i) GROUP BY 1, 2, 3)
-        SELECT sensor, session_id, CAST(pos AS INTEGER) AS pos, round(y / sqrt(sum(y * y) OVER (PARTITION BY sensor, session_id)), 5) AS value FROM p""",
+        SELECT sensor, session_id, CAST(pos AS INTEGER) AS pos, round(y / sqrt(sum(y * y) OVER (PARTITION BY sensor, session_id)), 5) + 0 AS value FROM p""",
     "novelty": """WITH m AS (SELECT label, i, avg(embedding[i + 1]::DOUBLE) AS v FROM embeddings, range(64) t(i) GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS v FROM m GROUP BY 1)
-        SELECT vec_id, c.label AS nearest_label, round(1 - greatest(list_cosine_similarity(embedding::DOUBLE[], v), 0), 5) AS novelty FROM embeddings, c
+        SELECT vec_id, c.label AS nearest_label, round(1 - greatest(list_cosine_similarity(embedding::DOUBLE[], v), 0), 5) + 0 AS novelty FROM embeddings, c
         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], v), 12) DESC, CAST(c.label AS VARCHAR)) = 1""",
-    "command_novelty": f"WITH {_BEST} SELECT command_hash, CASE WHEN noise THEN 1.0::DOUBLE ELSE round(1 - greatest(cos, 0), 5) END AS novelty FROM best",
+    "command_novelty": f"WITH {_BEST} SELECT command_hash, CASE WHEN noise THEN 1.0::DOUBLE ELSE round(1 - greatest(cos, 0), 5) + 0 END AS novelty FROM best",
     "rescue_cosine": f"WITH {_BEST} SELECT command_hash, label AS cluster_id, round(cos, 5) AS cosine FROM best WHERE noise AND cos >= 0.8",
     "rescue_radius": f"""WITH {_BEST}, r AS (SELECT quantile_cont(list_distance(u, v), 0.9) AS radius FROM c JOIN cent ON c.cid = cent.cid WHERE NOT noise)
         SELECT command_hash, label AS cluster_id, round(list_distance(u, v), 5) AS gap FROM best, r WHERE noise AND list_distance(u, v) <= radius""",
