@@ -47,6 +47,7 @@ MARKS = ("…", "...")
 #: A length counts as a source's limit if at least so many of its texts have exactly this length.
 LIMIT_TEXTS = 3
 TOKEN = re.compile(r"[^\W_]+")
+OMISSION = re.compile(r"(?<=\w)(?:…|\.\.\.)$")
 RARE_STEPS = (1, 2, 5, 20, 200)
 
 
@@ -68,6 +69,9 @@ def closing_features(text: str, kind: str | None, limit: str) -> tuple[list[int]
     `limit` is "none", "under", "at" or "over": the length against the source's limit.
     """
     t = text.rstrip()
+    # A mark of omission right behind a word says that something was left out; the closing before it is judged alike.
+    omitted = OMISSION.search(t)
+    t = t[: omitted.start()] if omitted else t
     lines = t.rsplit("\n", 1)
     line = lines[-1].strip()
     low = unicodedata.normalize("NFC", line.lower())
@@ -90,7 +94,7 @@ def closing_features(text: str, kind: str | None, limit: str) -> tuple[list[int]
         f"ll:{_size(len(line))}|{int(ends_word)}", f"ls:{_size(len(TOKEN.findall(sent)))}|{int(ends_word)}", f"lsk:{k}|{_size(len(TOKEN.findall(sent)))}|{final}",
         f"lt:{min(len(toks), 6)}|{k}|{int(ends_word)}", f"open:{opened}", f"wl:{min(len(last), 8)}|{int(ends_word)}",
         f"lim:{limit}|{int(ends_word)}", f"lim:{limit}", f"one:{int(len(lines) == 1)}|{k}",
-        f"rep:{int('�' in t[-4:])}", f"hex:{digest}", f"lone:{head}|{len(line.split())}" if len(line.split()) <= 4 else "long",
+        f"rep:{int('�' in t[-4:])}", f"hex:{digest}", f"omit:{int(bool(omitted))}|{k}", f"lone:{head}|{len(line.split())}" if len(line.split()) <= 4 else "long",
     ]
     return [_bucket(x) for x in names], last
 
