@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import table
+from ..session import cut_lineage, table
 
 FIT_DOCS = 12_000
+FIT_PARTITIONS = 12
 BUCKETS = 1 << 18
 SEED = 31
 EPOCHS = 6
@@ -204,7 +205,7 @@ def train(docs: DataFrame, counts: DataFrame) -> np.ndarray | None:
     n = whole.count()
     if not n:
         return None
-    sample = whole.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCS / n))).limit(FIT_DOCS)
+    sample = whole.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCS / n))).limit(FIT_DOCS).repartition(FIT_PARTITIONS)
     rows = training_rows(sample).join(counts, F.col("last") == F.col("word"), "left").withColumn("rare", rarity(F.coalesce("n", F.lit(0))))
     got = rows.select("fold", "y", "feats", "last", "kind", "rare").toArrow()
     if not len(got):
@@ -266,7 +267,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "kind", "text")
     limits = source_limits(docs)
     placed = with_limit(docs, limits)
-    counts = inner_word_counts(docs)
+    counts = cut_lineage(inner_word_counts(docs))
     w = train(placed, counts)
     if w is None:
         return docs.select("doc_id", "source", F.lit(0.0).alias("score"))
