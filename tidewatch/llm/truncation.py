@@ -47,6 +47,7 @@ MARKED = 0.2
 MARKS = ("…", "...")
 #: A length counts as a source's limit if at least so many of its texts have exactly this length.
 LIMIT_TEXTS = 3
+LIMITS_IN_MEMORY = 20_000
 TOKEN = re.compile(r"[^\W_]+")
 OMISSION = re.compile(r"(?<=\w)(?:…|\.\.\.)$")
 RARE_STEPS = (1, 2, 5, 20, 200)
@@ -129,7 +130,13 @@ def source_limits(docs: DataFrame) -> DataFrame:
 
 
 def with_limit(docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds `place`: the text's length against its source's limit.  One row per source, so the side stays small unless sources are keys."""
+    """Adds `place`: the text's length against its source's limit.
+
+    Up to LIMITS_IN_MEMORY limits are sent to the tasks, so texts needn't move; more are joined by shuffle.
+    """
+    head = limits.limit(LIMITS_IN_MEMORY + 1).collect()
+    if len(head) <= LIMITS_IN_MEMORY:
+        limits = F.broadcast(docs.sparkSession.createDataFrame(head, limits.schema))
     d = docs.join(limits, docs["source"].eqNullSafe(F.col("s")), "left")
     n = F.length("text")
     return d.withColumn("place", F.when(F.col("lim").isNull(), "none").when(n == F.col("lim"), "at").when(n < F.col("lim"), "under").otherwise("over")).drop("s", "lim")
