@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def frequent_itemsets(pairs: DataFrame, owner: str, item: str, min_count: int, max_size: int = 6) -> DataFrame:
-    """(items, size, support) of sets of two to max_size items that at least min_count owners hold.
+    """(items, size, support, first_owner) of sets of two to max_size items that at least min_count owners hold.
 
-    Every level extends the owners' frequent sets by a later frequent item, so only
-    sets whose parts are frequent are ever counted.  Null owners or items are ignored.
+    Owners with the same frequent items are collapsed to one weighted basket first.  Every level extends
+    the baskets' frequent sets by a later item, so only sets whose beginnings are
+    frequent are ever counted.  Null owners or items are ignored.
     """
     p = pairs.select(F.col(owner).alias("o"), F.col(item).alias("i")).filter("o is not null and i is not null").distinct()
     often = p.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).select("i")
-    base = p.join(often, "i").select("o", "i")
-    level = base.select("o", F.array("i").alias("items"))
+    held = p.join(often, "i").groupBy("o").agg(F.array_sort(F.collect_list("i")).alias("basket")).filter(F.size("basket") > 1)
+    baskets = held.groupBy("basket").agg(F.count(F.lit(1)).alias("w"), F.min("o").alias("first"))
+    level = cut_lineage(baskets).select("basket", "w", "first", F.posexplode("basket").alias("at", "i")).select("basket", "w", "first", "at", F.array("i").alias("items"))
     out = None
     for size in range(2, max_size + 1):
-        wider = level.join(base, "o").filter(F.col("i") > F.element_at("items", -1)).select("o", F.concat("items", F.array("i")).alias("items"))
-        kept = wider.groupBy("items").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= min_count)
-        found = kept.select("items", F.lit(size).alias("size"), "support")
+        rest = F.slice("basket", F.col("at") + 2, F.greatest(F.size("basket") - F.col("at") - 1, F.lit(0)))
+        wider = level.select("basket", "w", "first", "at", "items", F.posexplode(rest).alias("j", "i"))
+        wider = wider.select("basket", "w", "first", (F.col("at") + F.col("j") + 1).alias("at"), F.concat("items", F.array("i")).alias("items"))
+        kept = wider.groupBy("items").agg(F.sum("w").alias("support"), F.min("first").alias("first_owner")).filter(F.col("support") >= min_count)
+        found = cut_lineage(kept.select("items", F.lit(size).alias("size"), "support", "first_owner"))
         out = found if out is None else out.unionByName(found)
-        level = wider.join(kept.select("items"), "items", "left_semi").select("o", "items")
+        if size < max_size:
+            if not found.take(1):
+                break
+            level = wider.join(found.select("items"), "items", "left_semi").select("basket", "w", "first", "at", "items")
     return out
 
 

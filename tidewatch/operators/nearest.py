@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +15,99 @@ BLOCK = 20_000
 
 
 def usable(vec: Column, dim: int) -> Column:
-    """Not null, `dim` numbers and not all zero."""
-    return F.coalesce((F.size(vec) == dim) & F.exists(vec, lambda x: x != 0), F.lit(False))
+    """Not null, `dim` finite numbers and not all zero."""
+    v = F.when(F.size(vec) == dim, vec)
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def mean_vectors(df: DataFrame, key: str, vec: str, unit: bool = False) -> DataFrame:
-    """(key, pos, value): mean of each key's vectors (of unit vectors if `unit`), with map-side combining."""
-    from ..functions.dist import unit as to_unit
+    """(key, pos, value): mean of each key's vectors (of unit vectors if `unit`).
+
+    Each Arrow batch is summed per key first, so what moves is one row per key and batch.  Vectors
+    must be of one length and usable; null keys form a group of their own.
+    """
+    ktype = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("v"))
+            if unit:
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(n > 0, n, 1)
+            coded = b.column("k").dictionary_encode(null_encoding="encode")
+            at = coded.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums = np.add.reduceat(x[order], starts, axis=0)
+            counts = np.diff(np.append(starts, len(order)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(at[order][starts])), pa.array(list(sums), pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=["k", "s", "n"])
+
+    part = df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v")).mapInArrow(run, f"k {ktype}, s array<double>, n bigint")
+    flat = part.select("k", "n", F.posexplode("s").alias("pos", "x")).groupBy("k", "pos").agg((F.sum("x") / F.sum("n")).alias("value"))
+    return flat.select(F.col("k").alias(key), "pos", "value")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long number lists as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit_distance(a: Column, b: Column) -> Column:
+    """Distance of the unit vector of `a` to `b`, row by row."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        p, q = np.stack(x.to_list()).astype(float), np.stack(y.to_list()).astype(float)
+        n = np.linalg.norm(p, axis=1, keepdims=True)
+        return pd.Series(np.linalg.norm(p / np.where(n > 0, n, 1) - q, axis=1), index=x.index)
+
+    return run(a, b)
+
+
+def weighted_sums(df: DataFrame, keys: list[str], weight: str, vec: str) -> DataFrame:
+    """(keys..., vec): unit vector of the weighted sum of each key's unit vectors.  Keys are strings.
+
+    Rows are brought together by key and sorted, then summed run by run, carrying a run over a batch's end.
+    """
+    schema = ", ".join(f"`{k}` string" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(ks: list, xs: list) -> pa.RecordBatch:
+            x = np.stack(xs)
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(n > 0, n, 1)
+            return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in ks], pa.string()) for i in range(len(keys))], pa.array(list(x), pa.list_(pa.float64()))], names=[*keys, "vec"])
+
+        held, total = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("v"))
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / np.where(n > 0, n, 1) * b.column("w").to_numpy()[:, None]
+            ks = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True))
+            starts = [i for i in range(len(ks)) if i == 0 or ks[i] != ks[i - 1]]
+            sums = np.add.reduceat(x, starts, axis=0)
+            out_k, out_x = [], []
+            for i, s in zip(starts, sums, strict=True):
+                if ks[i] == held:
+                    total = total + s
+                    continue
+                if held is not None:
+                    out_k.append(held)
+                    out_x.append(total)
+                held, total = ks[i], s
+            if out_k:
+                yield emit(out_k, out_x)
+        if held is not None:
+            yield emit([held], [total])
 
-    v = to_unit(F.col(vec)) if unit else F.col(vec)
-    return df.select(key, F.posexplode(v).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    rows = df.select(*keys, F.col(weight).alias("w"), F.col(vec).cast("array<double>").alias("v")).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, f"{schema}, vec array<double>")
 
 
 def as_arrays(means: DataFrame, key: str) -> DataFrame:

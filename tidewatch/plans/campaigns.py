@@ -37,7 +37,7 @@ def itemsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closed_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = closed_itemsets(cut_lineage(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4)))
+    s = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4))
     return s.select(F.array_join("items", ",").alias("items"), "size", "support")
 
 
@@ -50,12 +50,8 @@ def intent_itemsets(spark: SparkSession, d: str) -> DataFrame:
 
 def behaviour_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """Closed playbook sets with their members (addresses holding the whole set), and a content-addressed id."""
-    sets = closed_itemsets(cut_lineage(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4)))
-    held = _pairs(spark, d).filter("source_ip is not null and playbook_id is not null").distinct()
-    parts = sets.select("items", "size", F.explode("items").alias("playbook_id"))
-    members = parts.join(held, "playbook_id").groupBy("items", "size", "source_ip").agg(F.count(F.lit(1)).alias("n")).filter("n = size")
-    out = members.groupBy("items").agg(F.count(F.lit(1)).alias("members"), F.min("source_ip").alias("first_member"))
-    return out.select(F.concat(F.lit("cmp-beh-"), X.short_hash(F.array_join("items", "|"))).alias("campaign_id"), F.array_join("items", ",").alias("playbooks"), "members", "first_member")
+    sets = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4))
+    return sets.select(F.concat(F.lit("cmp-beh-"), X.short_hash(F.array_join("items", "|"))).alias("campaign_id"), F.array_join("items", ",").alias("playbooks"), F.col("support").alias("members"), F.col("first_owner").alias("first_member"))
 
 
 def _artifacts(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dist as D
 from ..operators import clustering as C
-from ..operators.nearest import as_arrays, mean_vectors, nearest, usable
+from ..operators.nearest import as_arrays, mean_vectors, nearest, unit_distance, usable, weighted_sums
 from ..session import table
 from .common import CMD, SESS, command_events, slim_sessions
 
@@ -44,11 +44,10 @@ def command_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 def vec_pool(spark: SparkSession, d: str) -> DataFrame:
     """A session's vector: rarity-weighted sum of its unique commands' unit vectors, made unit (one row per dimension)."""
-    c = table(spark, d, "commands").filter(usable(F.col("embedding"), 96)).select(F.col("command_hash").alias("h"), D.unit(F.col("embedding")).alias("v"), D.pool_weight(F.col("occurrence_count")).alias("w"))
+    c = table(spark, d, "commands").filter(usable(F.col("embedding"), 96)).select(F.col("command_hash").alias("h"), "embedding", D.pool_weight(F.col("occurrence_count")).alias("w"))
     s = command_events(spark, d).select("sensor", "session_id", "h").distinct().join(c, "h")
-    p = s.select("sensor", "session_id", "w", F.posexplode("v").alias("pos", "x")).groupBy("sensor", "session_id", "pos").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-    n = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("sensor", "session_id")))
-    return p.select("sensor", "session_id", "pos", F.round(F.col("y") / n, 5).alias("value"))
+    p = weighted_sums(s, ["sensor", "session_id"], "w", "embedding")
+    return p.select("sensor", "session_id", F.posexplode("vec").alias("pos", "x")).select("sensor", "session_id", "pos", F.round("x", 5).alias("value"))
 
 
 def novelty(spark: SparkSession, d: str) -> DataFrame:
@@ -75,11 +74,11 @@ def rescue_cosine(spark: SparkSession, d: str) -> DataFrame:
 def rescue_radius(spark: SparkSession, d: str) -> DataFrame:
     """Outliers within the 90th percentile of the members' distance to their own centroid join the nearest cluster."""
     cents = _cmd_centroids(spark, d)
-    e = nearest(_cmd(spark, d), "embedding", cents, "cluster_id", "vec").withColumn("u", D.unit(F.col("embedding")))
     unit_c = cents.select("cluster_id", F.col("vec").alias("c"))
-    gap = F.sqrt(F.aggregate(F.zip_with("u", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    radius = e.filter("not noise").join(unit_c, "cluster_id").agg(F.percentile(gap, 0.9).alias("radius"))
-    near = e.filter("noise").withColumn("cluster_id", F.col("nearest")[0]["label"]).join(unit_c, "cluster_id").withColumn("gap", gap)
+    members = _cmd(spark, d).filter("not noise").join(unit_c, "cluster_id")
+    radius = members.withColumn("gap", unit_distance(F.col("embedding"), F.col("c"))).agg(F.percentile("gap", 0.9).alias("radius"))
+    noise = nearest(_cmd(spark, d).filter("noise"), "embedding", cents, "cluster_id", "vec").withColumn("cluster_id", F.col("nearest")[0]["label"])
+    near = noise.join(unit_c, "cluster_id").withColumn("gap", unit_distance(F.col("embedding"), F.col("c")))
     return near.join(F.broadcast(radius)).filter("gap <= radius").select("command_hash", "cluster_id", F.round("gap", 5).alias("gap"))
 
 
