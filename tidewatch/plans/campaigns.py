@@ -105,8 +105,10 @@ def file_crossref(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     f = e.filter(F.col("file_sha256").isNotNull() & F.col("filename").isNotNull() & F.col("source.ip").isNotNull())
     drop = f.groupBy("file_sha256", F.col("source.ip").alias("source_ip")).agg(F.min("ts").alias("first_drop"), F.min_by(F.element_at(F.split("filename", "/"), -1), F.struct("ts", "event_id")).alias("name"), F.min_by(uid(), F.struct("ts", "event_id")).alias("drop_uid"), F.count_distinct(uid()).alias("drops"))
-    c = command_events(spark, d).select(F.col("source.ip").alias("source_ip"), uid().alias("uid"), "ts", "event_id", F.split("command", r"[^A-Za-z0-9_.\-]+").alias("tokens"))
-    run = drop.join(c, "source_ip").filter((F.col("ts") >= F.col("first_drop")) & F.array_contains("tokens", F.col("name")))
+    c = command_events(spark, d).select(F.col("source.ip").alias("source_ip"), uid().alias("uid"), "ts", "event_id", F.explode(F.array_distinct(F.split("command", r"[^A-Za-z0-9_.\-]+"))).alias("name"))
+    # Joined on address and token, so a busy address's files don't meet all of its commands.
+    named = c.join(drop.select("name").distinct(), "name", "left_semi")
+    run = drop.join(named, ["source_ip", "name"]).filter(F.col("ts") >= F.col("first_drop"))
     first = run.groupBy("file_sha256", "source_ip").agg(F.min_by("uid", F.struct("ts", "event_id")).alias("run_uid"), F.min("ts").alias("first_run"))
     return drop.join(first, ["file_sha256", "source_ip"], "left").select(
         F.concat(F.lit("fcx-"), X.short_hash(F.concat_ws(":", "file_sha256", "source_ip"))).alias("crossref_id"), "name", "first_drop", "first_run", "drops", (F.col("run_uid") != F.col("drop_uid")).alias("cross_session")
