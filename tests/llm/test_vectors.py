@@ -74,7 +74,7 @@ def test_copies_answer_for_each_other(spark):
 
 def test_unusable_and_few(spark, write):
     ok = groups(1, 3, 0)
-    rows = [("a", ok[0].tolist()), ("b", ok[1].tolist()), ("c", None), ("d", [0.0] * 96), ("e", [1.0] * 48), ("f", [float("nan")] + [1.0] * 95), ("g", [None] + [1.0] * 95), (None, ok[2].tolist())]
+    rows = [("a", ok[0].tolist()), ("b", ok[1].tolist()), ("c", None), ("d", [0.0] * 96), ("e", [1.0] * 48), ("f", [float("nan")] + [1.0] * 95), ("g", [None] + [1.0] * 95), ("h", [float("inf")] + [1.0] * 95), (None, ok[2].tolist())]
     d = write(commands=(rows, "command_hash string, embedding array<float>"), session_clusters=([], "cluster_id string, centroid array<float>"))
     assert [tuple(r) for r in V.p5_found(spark, d).collect()] == [("command", "a", "b")]
     assert {(r.key, r.neighbour) for r in V.p5_neighbours(spark, d).collect()} == {("a", "b"), ("b", "a")}

@@ -13,8 +13,8 @@ Skew: cells are fitted in proportion to density; a cell expected to exceed
 SHARD_ROWS is cut into query and data shards, and the shards' best lists merged.  Exact
 copies of a vector are indexed once and answer for each other.
 
-Defined cases: a vector is usable if it is not null, has DIM numbers, none of
-them null or not a number, and is not all zero; others are left out.  Ties go to the smaller
+Defined cases: a vector is usable if it is not null, has DIM numbers, all finite,
+and is not all zero; others are left out.  Ties go to the smaller
 key.  Fewer than k usable records give shorter lists; empty tables give no rows.
 """
 
@@ -48,7 +48,7 @@ COPIES_IN_MEMORY = 20_000
 
 def usable(vec: Column, dim: int = DIM) -> Column:
     v = F.when(F.size(vec) == dim, vec)
-    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def vector_table(df: DataFrame, kind: str, key: str, vec: str) -> DataFrame:
