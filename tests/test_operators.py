@@ -198,3 +198,12 @@ def test_hunts_are_strict(spark):
     h = load_hunts([{"id": "all", "where": {"artifact_all": ["a", "b"]}}, {"id": "any", "where": {"artifact_any": ["b"]}, "cap": 1}, {"id": "off", "where": {"intent_in": ["x"]}, "enabled": False}])
     got = {(r.hunt_id, r.sid) for r in run_hunts(s, h, F.current_timestamp(), [F.desc("sid")]).collect()}
     assert got == {("all", "1"), ("any", "3")}
+
+
+def test_no_prototypes_means_novel(spark, tmp_path):
+    from tidewatch.plans.vectors import command_novelty
+
+    row = [("a", [1.0] * 96, ("c1", True)), ("b", [2.0] * 96, None), ("z", None, None)]
+    df = spark.createDataFrame(row, "command_hash string, embedding array<float>, cluster struct<id:string,is_outlier:boolean>")
+    df.write.parquet(f"{tmp_path}/commands.parquet")
+    assert {(r.command_hash, r.novelty) for r in command_novelty(spark, str(tmp_path)).collect()} == {("a", 1.0), ("b", 1.0)}

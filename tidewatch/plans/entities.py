@@ -33,7 +33,7 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
 def anchor_match(spark: SparkSession, d: str) -> DataFrame:
     """Clusters without a playbook take the nearest anchor's id at cosine 0.96, else a minted one."""
     c = nearest(_clusters(spark, d).filter(F.col("playbook_id").isNull()).select("cluster_id", "centroid"), "centroid", _anchors(spark, d), "playbook_id", "vec")
-    best = F.col("nearest")[0]
+    best = F.get("nearest", F.lit(0))
     minted = F.concat(F.lit("spb-"), X.short_hash(F.col("cluster_id")))
     return c.select("cluster_id", F.when(best["cosine"] >= ANCHOR, best["label"]).otherwise(minted).alias("playbook_id"), (best["cosine"] >= ANCHOR).alias("reused"), F.round(best["cosine"], 5).alias("cosine"))
 

@@ -54,7 +54,7 @@ def outlier_rate(spark: SparkSession, d: str) -> DataFrame:
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     x = _labelled(spark, d).filter(usable(F.col("embedding"), 96))
     p = as_arrays(mean_vectors(x, "label", "embedding", unit=True), "label")
-    return nearest(x, "embedding", p, "label", "vec").select("command_hash", "label", F.col("nearest")[0]["label"].alias("predicted"), F.col("nearest")[0]["cosine"].alias("cosine"))
+    return nearest(x, "embedding", p, "label", "vec").select("command_hash", "label", F.get("nearest", F.lit(0))["label"].alias("predicted"), F.get("nearest", F.lit(0))["cosine"].alias("cosine"))
 
 
 def prototype_report(spark: SparkSession, d: str) -> DataFrame:

@@ -53,21 +53,21 @@ def vec_pool(spark: SparkSession, d: str) -> DataFrame:
 def novelty(spark: SparkSession, d: str) -> DataFrame:
     """1 - max(0, best cosine) of each vector against the label centroids, and the nearest label."""
     e = nearest(_emb(spark, d), "embedding", as_arrays(mean_vectors(_emb(spark, d), "label", "embedding"), "label"), "label", "vec")
-    best = F.col("nearest")[0]
+    best = F.get("nearest", F.lit(0))
     return e.select("vec_id", best["label"].cast("int").alias("nearest_label"), F.round(1 - F.greatest(best["cosine"], F.lit(0.0)), 5).alias("novelty"))
 
 
 def command_novelty(spark: SparkSession, d: str) -> DataFrame:
     """Novelty of every usable command against the stored clusters; outliers score 1 by decision."""
     e = nearest(_cmd(spark, d), "embedding", _cmd_centroids(spark, d), "cluster_id", "vec")
-    best = F.col("nearest")[0]
+    best = F.get("nearest", F.lit(0))
     return e.select("command_hash", F.when(F.col("noise"), 1.0).otherwise(F.round(1 - F.greatest(best["cosine"], F.lit(0.0)), 5)).alias("novelty"))
 
 
 def rescue_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Outlier commands that reach a cluster centroid with cosine 0.8 join it."""
     e = nearest(_cmd(spark, d).filter("noise"), "embedding", _cmd_centroids(spark, d), "cluster_id", "vec")
-    best = F.col("nearest")[0]
+    best = F.get("nearest", F.lit(0))
     return e.filter(best["cosine"] >= 0.8).select("command_hash", best["label"].alias("cluster_id"), F.round(best["cosine"], 5).alias("cosine"))
 
 
@@ -77,7 +77,7 @@ def rescue_radius(spark: SparkSession, d: str) -> DataFrame:
     unit_c = cents.select("cluster_id", F.col("vec").alias("c"))
     members = _cmd(spark, d).filter("not noise").join(unit_c, "cluster_id")
     radius = members.withColumn("gap", unit_distance(F.col("embedding"), F.col("c"))).agg(F.percentile("gap", 0.9).alias("radius"))
-    noise = nearest(_cmd(spark, d).filter("noise"), "embedding", cents, "cluster_id", "vec").withColumn("cluster_id", F.col("nearest")[0]["label"])
+    noise = nearest(_cmd(spark, d).filter("noise"), "embedding", cents, "cluster_id", "vec").withColumn("cluster_id", F.get("nearest", F.lit(0))["label"])
     near = noise.join(unit_c, "cluster_id").withColumn("gap", unit_distance(F.col("embedding"), F.col("c")))
     return near.join(F.broadcast(radius)).filter("gap <= radius").select("command_hash", "cluster_id", F.round("gap", 5).alias("gap"))
 
@@ -85,9 +85,9 @@ def rescue_radius(spark: SparkSession, d: str) -> DataFrame:
 def assign_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Every usable command against the stored clusters as anchors: sure, inside the band, or novel."""
     e = nearest(_cmd(spark, d), "embedding", _cmd_centroids(spark, d), "cluster_id", "vec")
-    c = F.round(F.col("nearest")[0]["cosine"], 4)
+    c = F.round(F.get("nearest", F.lit(0))["cosine"], 4)
     status = F.when(c >= SURE, "confident").when(c >= TAU, "band").otherwise("novel")
-    return e.select("command_hash", F.when(status != "novel", F.col("nearest")[0]["label"]).alias("anchor"), c.alias("cosine"), status.alias("status"))
+    return e.select("command_hash", F.when(status != "novel", F.get("nearest", F.lit(0))["label"]).alias("anchor"), c.alias("cosine"), status.alias("status"))
 
 
 def scalar_block(spark: SparkSession, d: str) -> DataFrame:
