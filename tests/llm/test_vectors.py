@@ -86,6 +86,18 @@ def test_empty(spark, write):
         assert q(spark, d).count() == 0
 
 
+def all_lead(vectors):
+    """As collapse(), but every record is its own leader, as if each lay on a task of its own."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            key, x = b.column("key"), V.unit_rows(b.column("vec"))
+            yield pa.RecordBatch.from_arrays([b.column("kind"), key, key, pa.array([True] * len(x)), V.packed(x)], names=["kind", "key", "leader", "leads", "vec"])
+
+    return vectors.mapInArrow(run, "kind string, key string, leader string, leads boolean, vec binary")
+
+
 def cliques(x, keys):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     adj = u @ u.T >= C.TAU
@@ -141,3 +153,20 @@ def test_markov_clusters_split_a_weak_bridge(spark):
     assert len({got[f"a{i}"] for i in range(5)}) == 1
     assert len({got[f"b{i}"] for i in range(5)}) == 1
     assert got["a1"] != got["b1"]
+
+
+@pytest.mark.parametrize("centres", [1, 4])
+def test_nodes_of_a_cell_are_linked(spark, monkeypatch, centres):
+    """An arc too wide for one leader: its nodes share members, so the walk joins them, in one cell as in several."""
+    e = np.eye(V.DIM)
+    arc = [np.cos(t) * e[0] + np.sin(t) * e[1] for t in np.linspace(0, 0.8, 9)]
+    far = [np.cos(t) * e[2] + np.sin(t) * e[3] for t in np.linspace(0, 0.3, 4)]
+    x = np.array(arc + far, np.float32)
+    some = x[[0, 8, 4, 10]][:centres]
+    monkeypatch.setattr(C, "fit_cells", lambda *_: {"k": V.Cells(some, np.ones(centres, np.int64), np.arange(centres))})
+    monkeypatch.setattr(C, "collapse", all_lead)
+    _, groups = C.clustered(frame(spark, x), ["k"])
+    got = {r.leader: r.cluster for r in groups.collect()}
+    assert len({got[f"r{i:05}"] for i in range(9)}) == 1
+    assert len({got[f"r{i:05}"] for i in range(9, 13)}) == 1
+    assert got["r00000"] != got["r00009"]
