@@ -170,3 +170,19 @@ def test_nodes_of_a_cell_are_linked(spark, monkeypatch, centres):
     assert len({got[f"r{i:05}"] for i in range(9)}) == 1
     assert len({got[f"r{i:05}"] for i in range(9, 13)}) == 1
     assert got["r00000"] != got["r00009"]
+
+
+def test_small_fragments_of_a_cluster_are_joined(spark, monkeypatch):
+    """A cluster in pieces below MIN_SIZE, on tasks and in cells of their own, is put together before small pieces are dropped."""
+    x = groups(1, 6, 20, seed=3)
+    monkeypatch.setattr(C, "PROBES", 1)
+    monkeypatch.setattr(C, "CHUNK", 1)
+    monkeypatch.setattr(C, "SHARD_ROWS", 7)
+    u = V.unit_rows(frame(spark, x).select("vec").toArrow()["vec"])
+    monkeypatch.setattr(C, "fit_cells", lambda *_: {"k": V.Cells(u, np.ones(len(u), np.int64), np.arange(len(u)))})
+    monkeypatch.setattr(C, "collapse", all_lead)
+    records, parts = C.clustered(frame(spark, x), ["k"])
+    assert parts.select("cluster").distinct().count() == len(x)
+    got = {(r.key, r.cluster) for r in C.verified(records, parts).collect()}
+    assert {k for k, _ in got} == {f"r{i:05}" for i in range(6)}
+    assert len({c for _, c in got}) == 1
