@@ -15,7 +15,7 @@ from tidewatch.operators import clustering as C
 from tidewatch.operators.graph import connected_components
 from tidewatch.operators.hunts import load_hunts, run_hunts
 from tidewatch.operators.itemsets import closed_itemsets, frequent_itemsets
-from tidewatch.operators.nearest import nearest
+from tidewatch.operators.nearest import nearest, similar_pairs
 from tidewatch.operators.upsert import tombstone, upsert
 
 
@@ -207,3 +207,31 @@ def test_no_prototypes_means_novel(spark, tmp_path):
     df = spark.createDataFrame(row, "command_hash string, embedding array<float>, cluster struct<id:string,is_outlier:boolean>")
     df.write.parquet(f"{tmp_path}/commands.parquet")
     assert {(r.command_hash, r.novelty) for r in command_novelty(spark, str(tmp_path)).collect()} == {("a", 1.0), ("b", 1.0)}
+
+
+def test_prototype_components_have_no_limit_on_partners(spark, tmp_path):
+    """Two groups of 60 playbooks at two angles, joined by one pair: more than 50 partners are nearer than the bridge."""
+    from tidewatch.plans.entities import prototype_components
+
+    def at(t, i):
+        v = np.zeros(96)
+        v[:2], v[2 + i] = (np.cos(t), np.sin(t)), 0.02
+        return v.tolist()
+
+    near = [(f"c{i}", f"p{i:03}", at(0.0005 * i, i)) for i in range(60)]
+    far = [(f"d{i}", f"q{i:03}", at(0.46 + 0.0005 * i, i)) for i in range(60)]
+    spark.createDataFrame([*near, *far], "cluster_id string, playbook_id string, centroid array<double>").write.parquet(f"{tmp_path}/session_clusters.parquet")
+    got = prototype_components(spark, str(tmp_path)).collect()
+    assert len(got) == 120
+    assert {r.canonical for r in got} == {"p000"}
+
+
+def test_similar_pairs_in_blocks(spark):
+    x = np.random.default_rng(2).standard_normal((40, 4))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(f"k{i}", f"k{j}") for i, j in zip(*np.nonzero(np.round(u @ u.T, 6) >= 0.5), strict=True)}
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "k string, v array<double>")
+    for block in (4_096, 7):
+        rows = [tuple(r) for r in similar_pairs(df, "k", "v", 0.5, block=block).collect()]
+        assert len(rows) == len(want)
+        assert set(rows) == want

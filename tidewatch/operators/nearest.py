@@ -115,6 +115,33 @@ def as_arrays(means: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p")).select(key, F.col("p.value").alias("vec"))
 
 
+def similar_pairs(df: DataFrame, key: str, vec: str, least: float, digits: int = 6, block: int = 4_096) -> DataFrame:
+    """(src, dst) of all ordered pairs, a row with itself too, whose cosine rounded to `digits` is at least `least`.
+
+    Every block of rows meets every other, so no row has a limit on its partners.  Vectors must be of one length and usable.
+    """
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(vec).cast("array<double>").alias("v")).filter("k is not null")
+    blocks = max(1, -(-rows.count() // block))
+    mine = rows.withColumn("mine", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    every = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = every.select(F.col("mine").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "k", "v").unionByName(every.select(F.col("other").alias("x"), F.col("mine").alias("y"), F.lit(False).alias("left"), "k", "v"))
+
+    def run(t: pa.Table) -> pa.Table:
+        x = matrix(t["v"].combine_chunks())
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(n > 0, n, 1)
+        names, left = np.asarray(t["k"].to_pylist(), object), t["left"].to_numpy()
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        src, dst = [names[:0]], [names[:0]]
+        for i in range(0, len(a), 1024):
+            at, to = np.nonzero(np.round(x[a[i : i + 1024]] @ x[b].T, digits) >= least)
+            src.append(names[a[i + at]])
+            dst.append(names[b[to]])
+        return pa.table({"src": pa.array(np.concatenate(src), pa.string()), "dst": pa.array(np.concatenate(dst), pa.string())})
+
+    return met.groupBy("x", "y").applyInArrow(run, "src string, dst string")
+
+
 def nearest(df: DataFrame, vec: str, prototypes: DataFrame, key: str, pvec: str, out: str = "nearest", ordered: int = 1) -> DataFrame:
     """Adds `out`: array of the `ordered` best (label, cosine) by descending cosine, ties to the smaller label; empty without prototypes.
 

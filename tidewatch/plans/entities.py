@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import dist as D
 from ..functions import text as X
 from ..operators.graph import connected_components
-from ..operators.nearest import as_arrays, mean_vectors, nearest, usable
+from ..operators.nearest import as_arrays, mean_vectors, nearest, similar_pairs, usable
 from ..session import table
 from .campaigns import uid
 from .common import CMD, EV, SESS, command_events, events, slim_sessions
@@ -40,10 +40,7 @@ def anchor_match(spark: SparkSession, d: str) -> DataFrame:
 
 def prototype_components(spark: SparkSession, d: str) -> DataFrame:
     """Anchors linked where each other's cosine reaches 0.9, consolidated to the least id."""
-    a = _anchors(spark, d)
-    n = nearest(a.withColumnRenamed("playbook_id", "p"), "vec", a, "playbook_id", "vec", ordered=50)
-    e = n.select("p", F.explode("nearest").alias("x")).filter(F.round("x.cosine", 6) >= 0.9).select(F.col("p").alias("src"), F.col("x.label").alias("dst"))
-    return connected_components(e).select(F.col("node").alias("playbook_id"), F.col("component").alias("canonical"))
+    return connected_components(similar_pairs(_anchors(spark, d), "playbook_id", "vec", 0.9)).select(F.col("node").alias("playbook_id"), F.col("component").alias("canonical"))
 
 
 def anchor_drift(spark: SparkSession, d: str) -> DataFrame:
