@@ -111,3 +111,26 @@ def test_empty(spark, write, empty):
     tables = {"documents": (docs, "doc_id long, text string"), "eval_items": ([(i, "s", p) for i, p in items], "item_id long, suite string, passage string")}
     tables[empty] = ([], tables[empty][1])
     assert L.p6_found(spark, write(**tables)).count() == 0
+
+
+@pytest.mark.parametrize("where", ["any", "early", "late"])
+def test_recall_reaches_the_target(where):
+    """The share of edited windows found is the one aimed at, wherever the edits are."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"t{rng.randrange(3000)}" for _ in range(12))) for i in range(120)]
+    index = L.build_index(items, max_edits=2)
+    hit = 0
+    for i, p in items:
+        w = p.split()
+        for _ in range(2):
+            at = {"any": rng.randrange(len(w)), "early": rng.randrange(1, 4), "late": len(w) - rng.randrange(1, 4)}[where]
+            rng.choice([lambda: w.insert(at, "more"), lambda: w.pop(at), lambda: w.__setitem__(at, "other")])()  # noqa: B023
+        hit += i in L.matches(index, "before " + " ".join(w) + " after")
+    assert hit / len(items) >= 0.95
+
+
+def test_too_few_tables_are_reported(monkeypatch):
+    monkeypatch.setattr(L, "MAX_TABLES", 2)
+    with pytest.warns(UserWarning, match="2 tables find"):
+        index = L.build_index([(1, " ".join(VOCAB[:40]))], max_edits=2)
+    assert index.recall < L.RECALL

@@ -6,8 +6,10 @@ edit distance to a small Hamming distance; each of several tables samples
 positions of one walk into a hash key.  Windows at every position of every
 document are embedded alike and looked up; hits are verified by exact word edit distance.
 
-How many tables are needed for RECALL is measured on windows of the items with
-random edits put in; without edits equal windows embed alike and one table finds all.
+A walk that meets an early edit goes astray for the rest of the window, so with edits every window is
+embedded from its end as well, where early edits are late ones.  Tables are added until they find
+RECALL of the items' windows with random edits put in, each window counted alone; if MAX_TABLES
+don't, a warning gives the share reached.  Without edits equal windows embed alike and one table finds all.
 Before embedding, windows are left out that can't match: within k edits a window shares at
 least WINDOW - k words with an item.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,6 +113,7 @@ class ItemIndex:
     walks: Walks
     keys: list
     max_edits: int
+    recall: float
 
     @property
     def other(self) -> int:
@@ -120,8 +124,9 @@ class ItemIndex:
         return len(self.vocabulary) + 1
 
 
-def _with_edits(win: np.ndarray, edits: int, symbols: int, rng: np.random.Generator) -> np.ndarray:
-    out = []
+def _with_edits(win: np.ndarray, edits: int, symbols: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with random edits, as read from their first word, and as read backwards from their last."""
+    out, back = [], []
     for w in win:
         x = list(w)
         for _ in range(edits):
@@ -133,7 +138,8 @@ def _with_edits(win: np.ndarray, edits: int, symbols: int, rng: np.random.Genera
             else:
                 x.pop(at)
         out.append((x + [symbols] * len(w))[: len(w)])
-    return np.array(out, dtype=win.dtype)
+        back.append((x[::-1] + [symbols] * len(w))[: len(w)])
+    return np.array(out, dtype=win.dtype), np.array(back, dtype=win.dtype)
 
 
 def build_index(items: list[tuple[int, str]], window: int = WINDOW, max_edits: int = 0, recall: float = RECALL) -> ItemIndex:
@@ -146,21 +152,29 @@ def build_index(items: list[tuple[int, str]], window: int = WINDOW, max_edits: i
             owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
     win = np.array(list(owners), dtype=np.int32).reshape(-1, window)
     symbols = len(vocabulary) + 2
-    tables = 1
+    walks, tables, reached = Walks.make(MAX_TABLES if max_edits else 1, symbols, window), 1, 1.0
+    sides = [win, np.ascontiguousarray(win[:, ::-1])] if max_edits else [win]
     if max_edits and len(win):
         rng = np.random.default_rng(SEED)
-        some = win[rng.integers(0, len(win), 400)]
-        changed = _with_edits(some, max_edits, len(vocabulary), rng)
-        trial = Walks.make(16, symbols, window)
-        p = np.mean([(trial.keys(some, t) == trial.keys(changed, t)).mean() for t in range(16)])
-        tables = int(min(MAX_TABLES, max(1, np.ceil(np.log(1 - recall) / np.log(1 - min(max(p, 1e-3), 0.999))))))
-    walks = Walks.make(tables, symbols, window)
+        at = rng.integers(0, len(win), 2_000)
+        changed = _with_edits(win[at], max_edits, len(vocabulary), rng)
+        seen = np.zeros(len(at), bool)
+        for t in range(MAX_TABLES):
+            for side, other in zip(sides, changed, strict=True):
+                seen |= walks.keys(side[at], t) == walks.keys(other, t)
+            tables, reached = t + 1, float(seen.mean())
+            if reached >= recall:
+                break
+        if reached < recall:
+            warnings.warn(f"{MAX_TABLES} tables find {reached:.3f} of the edited windows, not {recall}", stacklevel=2)
     keys = []
-    for t in range(tables):
-        k = walks.keys(win, t)
-        order = np.argsort(k, kind="stable")
-        keys.append((k[order], order))
-    return ItemIndex(vocabulary, win, [sorted(v) for v in owners.values()], walks, keys, max_edits)
+    for side in sides:
+        for t in range(tables):
+            k = walks.keys(side, t)
+            order = np.argsort(k, kind="stable")
+            keys.append((k[order], order))
+    walks = Walks(walks.step[:tables], walks.pick[:tables], walks.mult[:tables])
+    return ItemIndex(vocabulary, win, [sorted(v) for v in owners.values()], walks, keys, max_edits, reached)
 
 
 def matches(index: ItemIndex, text: str | None) -> dict:
@@ -172,6 +186,17 @@ def matches(index: ItemIndex, text: str | None) -> dict:
     ids = np.array([get(x, index.other) for x in words(text)], dtype=np.int32)
     if len(ids) < w - k:
         return {}
+    tables = len(index.walks.pick)
+    out = _matches(index, ids, index.window, index.keys[:tables])
+    if k:
+        for item, d in _matches(index, np.ascontiguousarray(ids[::-1]), np.ascontiguousarray(index.window[:, ::-1]), index.keys[tables:]).items():
+            out[item] = min(out.get(item, k), d)
+    return out
+
+
+def _matches(index: ItemIndex, ids: np.ndarray, wanted: np.ndarray, keys: list) -> dict:
+    """As matches(), in one direction of reading."""
+    w, k = wanted.shape[1], index.max_edits
     # Words of items inside each window, by running sums: fewer than w - k can't match.
     known = np.concatenate([[0], np.cumsum(ids < index.other), np.full(w, (ids < index.other).sum())])
     starts = np.flatnonzero(known[w : w + len(ids)] - known[: len(ids)] >= w - k)
@@ -180,7 +205,7 @@ def matches(index: ItemIndex, text: str | None) -> dict:
         return {}
     win = windows(ids, w, w - k, index.pad)[starts]
     found: set = set()
-    for t, (sorted_keys, order) in enumerate(index.keys):
+    for t, (sorted_keys, order) in enumerate(keys):
         key = index.walks.keys(win, t)
         lo, hi = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
         for i in np.flatnonzero(hi > lo):
@@ -189,7 +214,7 @@ def matches(index: ItemIndex, text: str | None) -> dict:
         return {}
     pairs = np.array(sorted(found))
     wide = windows(ids, w + k, w - k, index.pad)
-    dist = edit_distance(index.window[pairs[:, 1]], wide[pairs[:, 0]], index.pad)
+    dist = edit_distance(wanted[pairs[:, 1]], wide[pairs[:, 0]], index.pad)
     out: dict = {}
     for (_, which), d in zip(pairs, dist, strict=True):
         if d <= k:
