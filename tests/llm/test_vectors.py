@@ -49,6 +49,16 @@ def test_recall_in_many_cells(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_recall_without_floor(spark, monkeypatch):
+    x = groups(30, 40, 1500)
+    want = exact(x, 5, -1)
+    for rows in (V.SHARD_ROWS, 1000):
+        monkeypatch.setattr(V, "SHARD_ROWS", rows)
+        got = {(r.a, r.b) for r in V.nearest_neighbours(frame(spark, x), ["k"], 5).collect()}
+        assert len(got) == 5 * len(x)
+        assert len(got & want) / len(want) >= 0.98
+
+
 def test_cut_cells_find_what_whole_cells_find(spark, monkeypatch):
     x = groups(4, 50, 100)
     plain = {(r.a, r.b) for r in V.nearest_neighbours(frame(spark, x), ["k"], 5).collect()}

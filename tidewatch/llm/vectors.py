@@ -7,7 +7,8 @@ with two correction scalars (distance to the centre, and how well the code fits)
 A query looks at all codes of its own cell, in which each vector is also entered
 from its next nearest cells.  Inner products are estimated from the packed bits
 and a query quantised to four bits; the estimate's error bound decides which
-candidates are reranked with exact similarities.
+candidates are reranked with exact similarities.  Cells hold the neighbours of at least SURE;
+records with fewer than k of these are compared with all records, in blocks.
 
 Skew: cells are fitted in proportion to density; a cell expected to exceed
 SHARD_ROWS is cut into query and data shards, and the shards' best lists merged.  Exact
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import table
+from ..session import cut_lineage, table
 
 DIM = 96
 K = 5
@@ -43,6 +44,8 @@ SHARD_ROWS = 8_192
 EPSILON = 1.9
 SEED = 5
 QUERY_BITS = 4
+#: Similarity from which cells are relied upon to hold the neighbours.
+SURE = 0.8
 COPIES_IN_MEMORY = 20_000
 
 
@@ -308,6 +311,48 @@ def search(placed: DataFrame, cells: dict[str, Cells], k: int, floor: float) ->
     return found
 
 
+def completed(vectors: DataFrame, found: DataFrame, k: int, floor: float) -> DataFrame:
+    """`found` with the exact lists of those records that have fewer than k neighbours of at least SURE."""
+    found = cut_lineage(found)
+    held = found.groupBy("kind", F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("kth"))
+    sure = held.filter((F.col("n") >= k) & (F.col("kth") >= SURE)).select("kind", "key")
+    # The list found so far says what a neighbour has to reach.
+    least = F.when(F.col("n") >= k, F.col("kth") - 1e-5).otherwise(F.lit(-2.0)).cast("float")
+    open_ = cut_lineage(vectors.join(sure, ["kind", "key"], "left_anti").join(held, ["kind", "key"], "left").select("kind", "key", "vec", least.alias("least")))
+    n_open = open_.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("qs"))
+    plan = n_open.join(vectors.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).alias("ds")), "kind")  # a row per kind
+
+    def shard(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.join(F.broadcast(plan), "kind").withColumn("mine", F.pmod(F.xxhash64("key"), F.col(own))).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+
+    q = shard(open_, "qs", "ds").select("kind", F.col("mine").alias("x"), F.col("rest").alias("y"), "key", "vec", "least")
+    d = shard(vectors, "ds", "qs").select("kind", F.col("rest").alias("x"), F.col("mine").alias("y"), "key", "vec", F.lit(None).cast("float").alias("least"))
+
+    def run(t: pa.Table) -> pa.Table:
+        is_q = np.asarray(t["least"].is_valid())
+        x, keys = unit_rows(t["vec"]), np.asarray(t["key"].to_pylist(), object)
+        qv, qk, dv, dk = x[is_q], keys[is_q], x[~is_q], keys[~is_q]
+        need = np.maximum(t["least"].to_numpy()[is_q].astype(np.float32), np.float32(floor))
+        out: tuple[list, list, list] = ([], [], [])
+        for i in range(0, len(qv) if len(dv) else 0, 512):
+            s = qv[i : i + 512] @ dv.T
+            low = need[i : i + 512]
+            many = np.flatnonzero((s >= low[:, None]).sum(axis=1) > 4 * k)
+            if len(many) and len(dv) > k + 1:  # one more, as a record may meet itself
+                low[many] = np.maximum(low[many], -np.partition(-s[many], k, axis=1)[:, k])
+            a, b = np.nonzero(s >= low[:, None])
+            other = qk[i + a] != dk[b]
+            for o, v in zip(out, (qk[i + a[other]], dk[b[other]], s[a[other], b[other]]), strict=True):
+                o.append(v)
+        a, b, s = (np.concatenate(o) if o else np.empty(0) for o in out)
+        return pa.table({"kind": pa.array([t["kind"][0].as_py()] * len(a), pa.string()), "a": pa.array(a.astype(object), pa.string()), "b": pa.array(b.astype(object), pa.string()), "similarity": pa.array(s.astype(np.float32), pa.float32())})
+
+    exact = q.unionByName(d).groupBy("kind", "x", "y").applyInArrow(run, "kind string, a string, b string, similarity float")
+    w = Window.partitionBy("kind", "a").orderBy(F.desc("similarity"), "b")
+    best = exact.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    return found.join(sure.withColumnRenamed("key", "a"), ["kind", "a"], "left_semi").select("kind", "a", "b", "similarity").unionByName(best)
+
+
 def copy_groups(vectors: DataFrame, k: int) -> DataFrame:
     """(kind, h, members): up to k + 1 least keys of each vector that occurs several times."""
     w = Window.partitionBy("kind", "h").orderBy("key")
@@ -334,6 +379,8 @@ def nearest_neighbours(vectors: DataFrame, kinds: list[str], k: int = K, floor:
     if not cells:
         return spark.createDataFrame([], "kind string, a string, b string, similarity float")
     found = search(place(single, cells, rot, probes), cells, k, floor)
+    if floor < SURE and any(len(m.centres) > 1 for m in cells.values()):
+        found = completed(single, found, k, floor)
     if none:
         return found
     # A representative's neighbours stand for their copies; copies of one vector are each other's nearest.
