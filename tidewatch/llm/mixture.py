@@ -1,25 +1,33 @@
 """Problem 7: mix sources to target shares of tokens, repeating small sources at most a capped number of times.
 
-The wanted size is cut into blocks of equal tokens.  Blocks are given to sources
-by the Sainte-Lague rule (highest quotient share / (2 * blocks so far + 1)); a
-source leaves when its capacity (distinct texts times max_repeats) is used up.
-A source's blocks are given to its shards by the same rule, and inside a shard
-a seeded order of texts decides which blocks are taken once more than others.
+The wanted size is cut into BLOCKS blocks of equal tokens, whatever the volume.  Blocks are given to
+sources by the Sainte-Lague rule (highest quotient share / (2 * blocks so far + 1)); a source leaves
+when its capacity (distinct texts times max_repeats) is used up.  A source's texts lie side by side in
+a seeded order; its shards are SHARD_BLOCKS blocks of that order, so a shard holds many blocks at every
+volume.  The same rule gives a source's blocks to its shards, and inside a shard a seeded order of
+blocks decides which are taken once more than others.  A text belongs to the block it starts in, so
+blocks are uneven by a text; single blocks are then added or taken away until each source delivers its
+quota to within one block (or its longest text, where that is longer).  If that fails, an error is raised.
+
+The plan holds a row per block: at most BLOCKS and one more per source, whatever the volume.
 
 Defined cases: null and empty texts hold no tokens and are left out; copies of a
 text within a source count as one text (its least doc_id), so no text occurs more
 than max_repeats times; sources missing from the targets get nothing; a target
-without documents gets zero blocks and is reported.
+without documents gets zero blocks and is reported; a null, zero or negative share or number of repeats gives nothing.
 """
 
 from __future__ import annotations
 
+import ast
 import base64
 import functools
 import heapq
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,34 +37,41 @@ from ..session import cut_lineage, table
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Resolution of the mixture: one block is this part of the wanted size.
 BLOCKS = 20_000
-SHARD_TOKENS = 2_000_000
+SHARD_BLOCKS = 64
+#: Tokens one task puts into order at a time.
+BUCKET_TOKENS = 2_000_000
+#: Buckets whose sums one task adds up.
+BUCKETS_TOGETHER = 4_096
 SEED = 17
-#: Longest piece handed to the tokenizer at once; longer texts are cut at white space, which never changes counts by more than one token a cut.
+#: Texts longer than this are handed to the tokenizer in pieces, cut only where its pattern always breaks.
 PIECE = 200_000
+#: A single blank between two other characters always starts a new piece.
+BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
 @functools.lru_cache(maxsize=2)
 def _encoding(folder: str, name: str):
-    import importlib.util
-
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_public_tokenizers", os.path.join(folder, "__init__.py"))
-    public = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(public)
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
+        parsed = ast.parse(f.read())  # read as data, not run
+    pattern = next(ast.literal_eval(n.value) for n in parsed.body if isinstance(n, ast.Assign) and getattr(n.targets[0], "id", "") == "PATTERN")
     with open(os.path.join(folder, name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _pieces(text: str) -> list[str]:
+    """The text in pieces of about PIECE characters whose tokens add up to the text's; one piece where it has no break."""
     out, at = [], 0
     while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        out.append(text[at:cut])
-        at = cut
+        cut = BREAK.search(text, at + PIECE)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
     return [*out, text[at:]]
 
 
@@ -142,55 +157,134 @@ def source_capacity(texts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def plan_mixture(texts: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> dict:
-    """Quotas of blocks: {source: {...}} with block size, blocks per shard.  Small: one entry per target source and shard."""
+    """{source: {...}} with block size, capacity and quota of blocks; one entry per target source."""
     rows = source_capacity(texts, targets).collect()
     total = max((r.total for r in rows), default=0)
     size = max(1, total // blocks)
-    shards = {r.source: max(1, -(-r.tokens // SHARD_TOKENS)) for r in rows}
-    quota = apportion(total // size, {r.source: r.target_share for r in rows}, {r.source: r.capacity // size for r in rows})
+    share = {r.source: max(0.0, r.target_share or 0.0) for r in rows}
+    capacity = {r.source: max(0, r.capacity or 0) for r in rows}
+    # The last block of a full source may be a part of one.
+    quota = apportion(total // size, share, {s: -(-n // size) for s, n in capacity.items()})
     return {
-        r.source: {"target_share": r.target_share, "tokens": r.tokens, "max_repeats": r.max_repeats, "capacity": r.capacity, "total": total, "size": size, "shards": shards[r.source], "blocks": quota[r.source]}
+        r.source: {
+            "target_share": share[r.source], "tokens": r.tokens, "max_repeats": r.max_repeats or 0, "capacity": capacity[r.source], "total": total, "size": size,
+            "blocks": quota[r.source], "wanted": min(quota[r.source] * size, capacity[r.source]),
+        }
         for r in rows
-    }
+    }
 
 
-def mixture(texts: DataFrame, plan: dict, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, repeats): the mixture, one row per chosen text."""
-    spark = texts.sparkSession
-    meta = spark.createDataFrame([(s, p["shards"], p["size"]) for s, p in plan.items()], "source string, n_shards bigint, size bigint")
-    sharded = cut_lineage(
-        texts.join(F.broadcast(meta), "source")
-        .withColumn("shard", F.pmod(F.xxhash64("text_id"), F.col("n_shards")))
-        .withColumn("ord", F.xxhash64(F.lit(seed), F.col("text_id")))
+def in_blocks(texts: DataFrame, plan: dict, seed: int = SEED, bucket_tokens: int | None = None) -> DataFrame:
+    """(doc_id, source, tokens, block) of the target sources' texts; a written table.
+
+    The seeded order is by hash, so a bucket is a range of hashes.  Texts are added up inside buckets,
+    buckets inside groups of buckets, and groups inside a source.
+    """
+    bucket_tokens = bucket_tokens or BUCKET_TOKENS
+    meta = texts.sparkSession.createDataFrame([(s, max(1, -(-p["tokens"] // bucket_tokens)), p["size"]) for s, p in plan.items()], "source string, buckets bigint, size bigint")
+    # 40 bits of the hash tell the bucket, so that their product with the number of buckets fits 64 bits; the whole hash orders the bucket.
+    ord_ = F.xxhash64(F.lit(seed), F.col("text_id"))
+    top = F.shiftrightunsigned(ord_, 24)
+    laid = cut_lineage(
+        texts.join(F.broadcast(meta), "source")  # a row per target source
+        .withColumn("ord", ord_)
+        .withColumn("bucket", F.shiftright(top * F.col("buckets"), 40))
     )
-    held = {(r.source, r.shard): r.n for r in sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("n")).collect()}
-    quotas = []
-    for s, p in plan.items():
-        mine = {k[1]: n for k, n in held.items() if k[0] == s}
-        cap = {k: n * p["max_repeats"] // p["size"] for k, n in mine.items()}
-        for shard, q in apportion(p["blocks"], mine, cap).items():
-            quotas.append((s, shard, q, max(1, -(-mine[shard] // p["size"]))))
-    # Per source at most tokens / SHARD_TOKENS rows, so bounded by the volume over two million tokens.
-    table_ = spark.createDataFrame(quotas, "source string, shard bigint, quota bigint, n_blocks bigint")
-    w = Window.partitionBy("source", "shard").orderBy("ord", "text_id")
-    before = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    placed = sharded.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / F.col("size"))).join(table_, ["source", "shard"])
-    repeats = F.floor(F.col("quota") / F.col("n_blocks")) + (F.col("block") < F.pmod(F.col("quota"), F.col("n_blocks"))).cast("long")
-    return placed.withColumn("repeats", repeats).filter("repeats > 0").select("doc_id", "source", "tokens", F.col("repeats").cast("int").alias("repeats"))
+    sums = laid.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).withColumn("high", F.floor(F.col("bucket") / BUCKETS_TOGETHER))
+    def running(*by: str, order: str):
+        w = Window.partitionBy(*by).orderBy(order)
+        return F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
+    highs = sums.groupBy("source", "high").agg(F.sum("n").alias("n")).withColumn("far", running("source", order="high")).drop("n")
+    starts = sums.withColumn("near", running("source", "high", order="bucket")).join(highs, ["source", "high"]).select("source", "bucket", (F.col("far") + F.col("near")).alias("start"))
+    w = Window.partitionBy("source", "bucket").orderBy(top, "ord", "text_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = laid.join(starts, ["source", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(w), F.lit(0).cast("long")))
+    return cut_lineage(placed.select("doc_id", "source", "tokens", F.floor(F.col("at") / F.col("size")).alias("block")))
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that stay below their share with every text repeated as often as allowed.
 
-    A source whose quota met its capacity is a candidate; the exact comparison of tokens follows.
+def block_repeats(plan: dict, actual: dict, longest: dict, seed: int = SEED) -> list[tuple[str, int, int]]:
+    """(source, block, repeats): how often each block is taken.
+
+    `actual` is {source: {block: tokens of the texts that start in it}}, `longest` the longest text by source.
     """
+    out = []
+    for s, p in plan.items():
+        n, size, most = -(-p["tokens"] // p["size"]), p["size"], p["max_repeats"]
+        if not n or not p["blocks"]:
+            continue
+        held = np.zeros(n, np.int64)
+        for b, t in actual.get(s, {}).items():
+            held[b] = t
+        rng = np.random.default_rng([seed, *s.encode()])
+        rank = rng.permutation(n)
+        shards = {i: min(SHARD_BLOCKS, n - i * SHARD_BLOCKS) for i in range(-(-n // SHARD_BLOCKS))}
+        quota = apportion(min(p["blocks"], n * most), shards, {i: k * most for i, k in shards.items()})
+        times = np.zeros(n, np.int64)
+        for i, k in shards.items():
+            at = np.arange(i * SHARD_BLOCKS, i * SHARD_BLOCKS + k)
+            times[at] = quota[i] // k
+            times[at[np.argsort(rank[at])[: quota[i] % k]]] += 1
+        open_ = int(p["wanted"] - (times * held).sum())
+        # Blocks differ by a text: blocks are added or taken away in seeded order as long as that doesn't go too far.
+        moved = True
+        while moved and open_:
+            moved, way = False, 1 if open_ > 0 else -1
+            for b in np.argsort(rank, kind="stable"):
+                if 0 < held[b] <= abs(open_) and 0 <= times[b] + way <= most:
+                    times[b] += way
+                    open_ -= way * int(held[b])
+                    moved = True
+        # The last one may go past the quota where that ends nearer to it.
+        way = 1 if open_ > 0 else -1
+        free = np.flatnonzero((held > 0) & (times + way >= 0) & (times + way <= most))
+        if open_ and len(free):
+            b = free[np.abs(abs(open_) - held[free]).argmin()]
+            if abs(abs(open_) - held[b]) < abs(open_):
+                times[b] += way
+                open_ -= way * int(held[b])
+        if abs(open_) > max(size, longest.get(s, 0)):
+            raise RuntimeError(f"mixture: {s} misses its {p['wanted']} tokens by {open_}, with blocks of {size}")
+        out += [(s, int(b), int(times[b])) for b in np.flatnonzero(times)]
+    return out
+
+
+def mixture(texts: DataFrame, plan: dict, seed: int = SEED, bucket_tokens: int | None = None) -> DataFrame:
+    """(doc_id, source, tokens, repeats): the mixture, one row per chosen text."""
+    placed = in_blocks(texts, plan, seed, bucket_tokens)
+    actual: dict = {}
+    longest: dict = {}
+    # A row per block, at most BLOCKS and one more per source.
+    for r in placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.max("tokens").alias("top")).collect():
+        actual.setdefault(r.source, {})[r.block] = r.n
+        longest[r.source] = max(longest.get(r.source, 0), r.top)
+    chosen = texts.sparkSession.createDataFrame(block_repeats(plan, actual, longest, seed), "source string, block bigint, repeats int")
+    return placed.join(F.broadcast(chosen), ["source", "block"]).select("doc_id", "source", "tokens", "repeats")
+
+
+def short_sources(plan: dict) -> list[str]:
+    """Sources whose blocks, if none had a capacity, would be more than they can fill.
+
+    The rule is run with blocks of one token, which tells quotas from capacities to within a rounding of
+    seats (less than one seat per source); only where they lie that close, the exact numbers are compared.
+    """
+    if not plan:
+        return []
+    total = next(iter(plan.values()))["total"]
+    claim = apportion(total, {s: p["target_share"] for s, p in plan.items()}, dict.fromkeys(plan, total))
+    near = len(plan) + 1
+
+    def short(s: str, p: dict) -> bool:
+        if abs(claim[s] - p["capacity"]) > near:
+            return claim[s] > p["capacity"]
+        return p["capacity"] < p["target_share"] * total
+
+    return [s for s, p in plan.items() if short(s, p)]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose quota of the mixture is beyond their capacity: below their share with every text repeated as often as allowed."""
     texts = cut_lineage(distinct_texts(token_table(spark, sf_dir)))
-    plan = plan_mixture(texts, table(spark, sf_dir, "mix_targets"))
-    short = [
-        (s,) for s, p in plan.items()
-        if p["blocks"] + 1 >= p["capacity"] // p["size"] and p["capacity"] < p["target_share"] * p["total"]
-    ]
-    return spark.createDataFrame(short, "source string")
+    return spark.createDataFrame([(s,) for s in short_sources(plan_mixture(texts, table(spark, sf_dir, "mix_targets")))], "source string")
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
