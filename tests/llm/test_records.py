@@ -88,11 +88,56 @@ def test_hot_key_counts(spark):
 
 def test_all_pairs_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(R, "PAIR_BLOCK", 7)
-    rows = [("big", f"m{i:03}", 40) for i in range(40)] + [("small", "a", 2), ("small", "b", 2)]
-    got = [(r.a, r.b) for r in R.member_pairs(spark.createDataFrame(rows, "key string, m string, n int"), "key", "m", "n").collect()]
+    rows = [("big", f"m{i:03}") for i in range(40)] + [("small", "a"), ("small", "b"), ("alone", "x"), (None, "y"), (None, "z"), ("big", None), ("small", "a")]
+    lists = R.run_lists(spark.createDataFrame(rows, "k string, m string").withColumn("key", F.lit("clash")), "k", "m")
+    got = [(r.a, r.b) for r in R.list_pairs(lists).collect()]
     want = set(itertools.combinations([f"m{i:03}" for i in range(40)], 2)) | {("a", "b")}
     assert len(got) == len(want)
     assert set(got) == want
+    assert all(len(r.members) <= 7 for r in lists.collect())
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", ["1", "5", "23"])
+def test_runs_over_partitions_and_batches(spark, monkeypatch, parts, adaptive):
+    """A third of all rows in one run, cut by partition borders and Arrow batches."""
+    monkeypatch.setattr(R, "PAIR_BLOCK", 8)
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(150)}", f"m{i:04}", 1 + i % 3) for i in range(420)]
+    conf = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.enabled": adaptive, "spark.sql.execution.arrow.maxRecordsPerBatch": "11"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "key string, m string, w long")
+        got = sorted((r.a, r.b) for r in R.list_pairs(R.run_lists(df, "key", "m")).collect())
+        runs = {r.key: (r.representative, r.copies, r["rows"]) for r in R.sorted_runs(df, "key", "m", "w").collect()}
+        n = R.sorted_runs(df, "key", "m", "w").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    groups = {}
+    for k, m, w in rows:
+        groups.setdefault(k, []).append((m, w))
+    assert got == sorted(p for g in groups.values() for p in itertools.combinations(sorted(m for m, _ in g), 2))
+    assert runs == {k: (min(m for m, _ in g), sum(w for _, w in g), len(g)) for k, g in groups.items()}
+    assert n == len(groups)
+
+
+def test_the_scan_is_in_the_plan(spark, write):
+    """Keys are sorted and scanned side by side; no aggregate by key stands in for it."""
+    d = write(commands=([("a", "x y"), ("b", "X  y")], "command_hash string, command_line string"))
+    seen = []
+    real = R.cut_lineage
+    R.cut_lineage = lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1]
+    try:
+        assert R.p1_found(spark, d).count() == 1
+    finally:
+        R.cut_lineage = real
+    scan = next(p for p in seen if "MapInArrow" in p)
+    assert "Sort" in scan
+    assert "rangepartitioning" in scan
+    assert not any("HashAggregate" in p for p in seen)
 
 
 def test_queries(spark, write):
