@@ -70,6 +70,20 @@ def test_full_bit_fields_lose_nothing(spark, write, monkeypatch):
     assert {tuple(r) for r in L.p6_found(spark, d).collect()} == brute(docs, items)
 
 
+def test_sketches_never_drop_a_match():
+    """A window within k edits lacks at most k of the other's words, so at most k bits of its sketch."""
+    rng = np.random.default_rng(6)
+    win = rng.integers(1, 1 << 62, (400, 12), dtype=np.uint64)
+    low, high = L.sketches(win)
+    for k in (1, 2):
+        for way in ("random", "change", "insert", "delete"):
+            x, _ = L._edited(win, way, k, rng)
+            wide = np.concatenate([x, win[:, :1]], axis=1)  # more words only add bits
+            a, b = L.sketches(wide)
+            lack = np.bitwise_count(low & ~a) + np.bitwise_count(high & ~b)
+            assert (lack <= k).all(), (k, way)
+
+
 def test_bit_field(spark):
     values = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 3000)
     field = L.bit_field(spark.createDataFrame([(int(v),) for v in values], "v long"), "v", 1 << 20)
@@ -124,7 +138,7 @@ def test_edit_distance():
 def matches(spark, items, docs, edits):
     i = spark.createDataFrame(items, "item_id long, passage string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    return {(r.doc_id, r.item_id): r.edits for r in L.leaked_items(d, i, max_edits=edits).collect()}
+    return {(r.doc_id, r.item_id): r.edits for r in L.leaked_items(d, i, max_edits=edits, sought=edits).collect()}
 
 
 def test_too_many_edits_do_not_match(spark):

@@ -13,10 +13,11 @@ edits put in, for each way of placing the edits (at random, and side by side at
 Both sides are tables, so neither the items nor the corpus has to fit anywhere:
 
 1. The items' windows and their keys are written.  Two bit fields of fixed size (their words, their keys) go to the tasks.
-2. One pass over the corpus: windows with fewer than WINDOW - edits words of items can't match and
+2. One pass over the corpus: windows with fewer words of items than a match has can't match and
    aren't embedded; of the others those with a key in the bit field come out, with their document.
 3. Equal windows are looked up once, however many documents hold them, so a passage in a third of all documents is no hot key.
-   Keys are joined, pairs verified, and the windows that passed are joined back to their documents, salted.
+   Keys are joined; a 128-bit sketch of each window's words drops pairs that lack too many of the item's words (never others);
+   the rest is verified, and the windows that passed are joined back to their documents, salted.
 
 A bit field that fills up lets more windows through to the join; it never loses one.
 
@@ -44,7 +45,7 @@ WINDOW = 12
 #: Word edits within which p6_near reports a window, and within which candidates are sought for p6_found.
 EDITS = 2
 STRETCH = 3
-SAMPLED = 4
+SAMPLED = 6
 RECALL = 0.98
 TRIALS = 1_000
 #: A walk that finds nothing new in so many tables won't reach the recall asked for.
@@ -216,14 +217,23 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "item_id bigint, win binary").distinct())
 
 
+def sketches(win: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits in two words: one bit for each symbol of the window."""
+    at = win & np.uint64(127)
+    bit = np.where(win == PAD, np.uint64(0), np.uint64(1) << (at & np.uint64(63)))
+    low = np.bitwise_or.reduce(np.where(at < 64, bit, np.uint64(0)), axis=1)
+    return low, np.bitwise_or.reduce(np.where(at < 64, np.uint64(0), bit), axis=1)
+
+
 def keyed(wins: DataFrame, col: str, length: int, walks: Walks, window: int, side: str | None = None) -> DataFrame:
-    """(key, id): all keys of each window; `side` names the column that says whether a window is read backwards, else both readings are keyed."""
+    """(key, id, low, high): all keys of each window, and the sketch of all its words; `side` names the column that says whether a window is read backwards, else both readings are keyed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            win = _rows(b.column(col), length)[:, :window]
-            if not len(win):
+            whole = _rows(b.column(col), length)
+            if not len(whole):
                 continue
+            win, (low, high) = whole[:, :window], sketches(whole)
             if side:
                 back = b.column(side).to_numpy(zero_copy_only=False)
                 readings = [(s, np.flatnonzero(back == s), win) for s in (False, True)]
@@ -234,9 +244,9 @@ def keyed(wins: DataFrame, col: str, length: int, walks: Walks, window: int, sid
                 if len(at):
                     ids = b.column("id").take(pa.array(at))
                     for t in range(walks.tables):
-                        yield pa.RecordBatch.from_arrays([_signed(walks.keys(w[at], t, s)), ids], names=["key", "id"])
+                        yield pa.RecordBatch.from_arrays([_signed(walks.keys(w[at], t, s)), ids, _signed(low[at]), _signed(high[at])], names=["key", "id", "low", "high"])
 
-    return wins.select("id", col, *([side] if side else [])).mapInArrow(run, "key bigint, id string")
+    return wins.select("id", col, *([side] if side else [])).mapInArrow(run, "key bigint, id string, low bigint, high bigint")
 
 
 def bit_field(values: DataFrame, col: str, bits: int) -> np.ndarray:
@@ -254,10 +264,10 @@ def has_bit(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def corpus_windows(docs: DataFrame, known: np.ndarray, held: np.ndarray, walks: Walks, window: int, edits: int) -> DataFrame:
+def corpus_windows(docs: DataFrame, known: np.ndarray, held: np.ndarray, walks: Walks, window: int, edits: int, both: bool) -> DataFrame:
     """(doc_id, win, back): windows of the documents that may share a key with an item's, each once per document; a written table.
 
-    `win` has window + edits words, the last of them for the edit distance alone.
+    `win` has window + edits words, the last of them for the edit distance alone; `both`: read backwards as well.
     """
     shared = docs.sparkSession.sparkContext.broadcast((known, held, walks))  # fixed size
     length = window + edits
@@ -270,7 +280,7 @@ def corpus_windows(docs: DataFrame, known: np.ndarray, held: np.ndarray, walks:
             whole = np.concatenate([gap, *[p for t in texts for p in (t, gap)]])
             owner = np.concatenate([np.zeros(length, np.int64), *[np.full(len(t) + length, i, np.int64) for i, t in enumerate(texts)]])
             is_known = (has_bit(known, whole) & (whole != PAD)).astype(np.int32)
-            for back in (False, True) if edits else (False,):
+            for back in (False, True) if both else (False,):
                 x, k, o = (whole[::-1], is_known[::-1], owner[::-1]) if back else (whole, is_known, owner)
                 sums = np.concatenate([[0], np.cumsum(k)])
                 n = len(x) - length + 1
@@ -326,9 +336,13 @@ def verified(pairs: DataFrame, window: int, edits: int) -> DataFrame:
     return pairs.select("id", "back", "win", "item_id", "item_win").mapInArrow(run, "id string, item_win_id string, edits int")
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 0) -> DataFrame:
-    """(doc_id, item_id, edits): documents holding a window of an item within `max_edits` word edits."""
-    walks = Walks.make(tables_for(window, max_edits), window)
+def leaked_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = EDITS, sought: int = EDITS) -> DataFrame:
+    """(doc_id, item_id, edits): documents holding a window of an item within `max_edits` word edits.
+
+    The tables are enough to find windows of up to `sought` edits, at least max_edits.
+    """
+    sought = max(sought, max_edits)
+    walks = Walks.make(tables_for(window, sought), window)
     owners = item_windows(items, window).withColumn("id", F.md5("win"))
     wanted = owners.select("id", "win").distinct()
     item_keys = cut_lineage(keyed(wanted, "win", window, walks, window))
@@ -339,11 +353,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_ed
 
     known = bit_field(wanted.select("win").mapInArrow(each_word, "word bigint"), "word", WORD_BITS)
     held = bit_field(item_keys, "key", KEY_BITS)
-    seen = corpus_windows(docs, known, held, walks, window, max_edits)
+    seen = corpus_windows(docs, known, held, walks, window, max_edits, sought > 0)
     once = cut_lineage(seen.groupBy("id").agg(F.any_value("win").alias("win"), F.any_value("back").alias("back")))
+    of_items = item_keys.select("key", F.col("id").alias("item_id"), F.col("low").alias("l"), F.col("high").alias("h"))
+    lacking = F.bit_count(F.col("l").bitwiseAND(F.bitwise_not("low"))) + F.bit_count(F.col("h").bitwiseAND(F.bitwise_not("high")))
     pairs = (
         keyed(once, "win", window + max_edits, walks, window, "back")
-        .join(item_keys.withColumnRenamed("id", "item_id"), "key")
+        .join(of_items, "key").filter(lacking <= max_edits)
         .select("id", "item_id").distinct()
         .join(once, "id")
         .join(wanted.select(F.col("id").alias("item_id"), F.col("win").alias("item_win")), "item_id")
@@ -356,18 +372,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_ed
     return where.join(salted, ["id", "salt"]).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=EDITS)
+def _leaks(spark: SparkSession, sf_dir: str, max_edits: int) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), max_edits=max_edits)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least twelve consecutive words of an item's passage: the candidates of p6_near whose exact edit distance is 0."""
-    return _leaks(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")
+    """Documents with at least twelve consecutive words of an item's passage: found by the tables of p6_near, verified to differ by no word."""
+    return _leaks(spark, sf_dir, 0).select("doc_id", "item_id")
 
 
 def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p6_found, but with up to two words changed, added or missing in the window."""
-    return _leaks(spark, sf_dir)
+    return _leaks(spark, sf_dir, EDITS)
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
