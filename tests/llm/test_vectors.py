@@ -196,3 +196,39 @@ def test_small_fragments_of_a_cluster_are_joined(spark, monkeypatch):
     got = {(r.key, r.cluster) for r in C.verified(records, parts).collect()}
     assert {k for k, _ in got} == {f"r{i:05}" for i in range(6)}
     assert len({c for _, c in got}) == 1
+
+
+def test_the_walk_decides_what_is_checked(spark, monkeypatch, write):
+    """Without the walk's clusters there are no candidates; with other clusters there are others."""
+    x = groups(6, 10, 20, seed=8)
+    rows = [(f"r{i:03}", v.tolist()) for i, v in enumerate(x)]
+    d = write(commands=(rows, "command_hash string, embedding array<float>"), ips_rollup=([], "source_ip string, embedding array<float>"))
+    assert C.p4_found(spark, d).count() == 60
+    real = C.markov_clusters
+    monkeypatch.setattr(C, "markov_clusters", lambda *a, **k: real(*a, **k).limit(0))
+    assert C.p4_found(spark, d).count() == 0
+    monkeypatch.setattr(C, "markov_clusters", lambda *a, **k: real(*a, **k).filter("cluster > 'r03'"))
+    assert 0 < C.p4_found(spark, d).count() < 60
+
+
+def test_an_even_group_is_one_cluster(spark):
+    """Many nodes all linked alike keep small, equal entries, and are still one system."""
+    n = 150
+    edges = spark.createDataFrame([("x", f"n{i:03}", f"n{j:03}", 0.9) for i in range(n) for j in range(i + 1, n)], "kind string, a string, b string, w double")
+    nodes = spark.createDataFrame([("x", f"n{i:03}") for i in range(n + 2)], "kind string, node string")
+    got = {r.node: r.cluster for r in C.markov_clusters(edges, nodes).collect()}
+    assert len(got) == n + 2
+    assert {got[f"n{i:03}"] for i in range(n)} == {"n000"}
+    assert got["n151"] == "n151"
+
+
+def test_walk_without_rest_is_an_error(spark):
+    edges = spark.createDataFrame([("x", "a", "b", 1.0), ("x", "b", "c", 1.0)], "kind string, a string, b string, w double")
+    with pytest.raises(RuntimeError, match="stand still"):
+        C.markov_clusters(edges, rounds=2)
+
+
+def test_long_chain_of_names(spark):
+    pairs = spark.createDataFrame([("x", f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("x", "z1", "z2")], "kind string, about string, other string")
+    got = {r.cluster: r.root for r in C.merge_names(pairs).collect()}
+    assert set(got.values()) == {"n000", "z1"}

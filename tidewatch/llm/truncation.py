@@ -208,11 +208,12 @@ def scores(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, counts: DataFrame) -> np.ndarray | None:
     """Weights, or None where nothing can be trained.  `docs` has place; the driver holds at most FIT_DOCS * (1 + CUTS) short rows."""
-    whole = docs.filter(F.length(F.trim("text")) > 0)
-    n = whole.count()
-    if not n:
+    whole = docs.filter(F.length(F.trim("text")) > 0).withColumn("h", F.xxhash64("doc_id", F.lit(SEED)))
+    # The FIT_DOCS least hashes: the same sample however rows are partitioned.
+    least = [r.h for r in whole.select("h").orderBy("h").limit(FIT_DOCS + 1).collect()]
+    if not least:
         return None
-    sample = whole.filter(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_DOCS / n))).limit(FIT_DOCS).repartition(FIT_PARTITIONS)
+    sample = (whole.filter(F.col("h") < least[-1]) if len(least) > FIT_DOCS else whole).repartition(FIT_PARTITIONS)
     rows = training_rows(sample).join(counts, F.col("last") == F.col("word"), "left").withColumn("rare", rarity(F.coalesce("n", F.lit(0))))
     got = rows.select("fold", "y", "feats", "last", "kind", "rare").toArrow()
     if not len(got):
@@ -254,7 +255,9 @@ def score_all(docs: DataFrame, counts: DataFrame, w: np.ndarray) -> DataFrame:
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, kind string, base double, last string"
     scored = docs.select("doc_id", "source", "kind", "text", "place").mapInPandas(run, schema)
-    joined = scored.join(counts, F.col("last") == F.col("word"), "left").withColumn("rare", F.when(F.col("last") == "", -1).otherwise(rarity(F.coalesce("n", F.lit(0)))))
+    # Closings that are no word match nothing; a key of its own for each keeps them from one task.
+    look = F.when(F.col("last") == "", F.concat(F.lit("\u0001"), F.xxhash64("doc_id").cast("string"))).otherwise(F.col("last"))
+    joined = scored.withColumn("look", look).join(counts, F.col("look") == F.col("word"), "left").withColumn("rare", F.when(F.col("last") == "", -1).otherwise(rarity(F.coalesce("n", F.lit(0)))))
 
     def add(rare: pd.Series, kind: pd.Series) -> pd.Series:
         memo: dict = {}

@@ -142,15 +142,17 @@ def fit_cells(vectors: DataFrame, kinds: list[str], rot: np.ndarray) -> dict[str
             continue
         cells = int(min(MAX_CELLS, max(1, n**0.5))) if n > 2_000 else 1
         want = min(FIT_ROWS, max(cells * FIT_ROWS_PER_CELL, 1))
+        # The least hashes, so the sample doesn't depend on how rows are partitioned.
+        h = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30))
         rows = vectors.filter(F.col("kind") == kind)
-        if n > want:
-            rows = rows.filter(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * want / n)).limit(2 * want)
-        sample = rows.select("vec").toArrow()
+        some = rows.filter(h < int((1 << 30) * min(1.0, 2 * want / n + 1e-3)))
+        sample = some.orderBy(h, "key").limit(want).select("vec").toArrow()
         if not len(sample):
-            sample = vectors.filter(F.col("kind") == kind).limit(want).select("vec").toArrow()
+            sample = rows.orderBy(h, "key").limit(want).select("vec").toArrow()
         x = unit_rows(sample["vec"]) @ rot
         centres = kmeans(x, cells)
-        share = np.bincount(nearest(x, centres, 1)[:, 0], minlength=len(centres)) / len(x)
+        # A cell holds its own vectors and those entered from the cells next to it.
+        share = np.bincount(nearest(x, centres, PROBES).ravel(), minlength=len(centres)) / len(x)
         shards = np.maximum(1, np.ceil(share * n / SHARD_ROWS)).astype(np.int64)
         groups = shards * shards
         out[kind] = Cells(centres, shards, np.concatenate([[0], np.cumsum(groups)[:-1]]))
