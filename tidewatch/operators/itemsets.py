@@ -4,42 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
 
+#: Items per word of the bit fields that tell what all owners of a set have in common.
+WORD = 62
+
+
 def frequent_itemsets(pairs: DataFrame, owner: str, item: str, min_count: int, max_size: int = 6) -> DataFrame:
-    """(items, size, support, first_owner) of sets of two to max_size items that at least min_count owners hold.
+    """(items, size, support, first_owner, closed) of sets of two to max_size items that at least min_count owners hold.
 
     Owners with the same frequent items are collapsed to one weighted basket first.  Every level extends
     the baskets' frequent sets by a later item, so only sets whose beginnings are
-    frequent are ever counted.  Null owners or items are ignored.
+    frequent are ever counted.  A set is closed if its owners have no other item in common: their baskets, as
+    bit fields, are intersected while they are counted, so closedness doesn't depend on max_size.
+    Null owners or items are ignored.
     """
     p = pairs.select(F.col(owner).alias("o"), F.col(item).alias("i")).filter("o is not null and i is not null").distinct()
-    often = p.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).select("i")
+    often = cut_lineage(p.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).select("i"))
+    n_items = often.count()
     held = p.join(often, "i").groupBy("o").agg(F.array_sort(F.collect_list("i")).alias("basket")).filter(F.size("basket") > 1)
     baskets = held.groupBy("basket").agg(F.count(F.lit(1)).alias("w"), F.min("o").alias("first"))
-    level = cut_lineage(baskets).select("basket", "w", "first", F.posexplode("basket").alias("at", "i")).select("basket", "w", "first", "at", F.array("i").alias("items"))
+    # Frequent items are at most the pairs over min_count; each gets a bit.
+    numbered = often.select("i", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("i")) - 1).alias("no"))
+    words = [f"b{k}" for k in range(-(-n_items // WORD))]
+    at_word, bit = F.floor(F.col("no") / WORD), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("no") % WORD).cast("int"))
+    bits = baskets.select("basket", F.explode("basket").alias("i")).join(numbered, "i").groupBy("basket").agg(*[F.sum(F.when(at_word == k, bit).otherwise(F.lit(0).cast("long"))).alias(b) for k, b in enumerate(words)])
+    baskets = cut_lineage(baskets.join(bits, "basket"))
+    level = baskets.select("basket", "w", "first", *words, F.posexplode("basket").alias("at", "i")).select("basket", "w", "first", *words, "at", F.array("i").alias("items"))
     out = None
     for size in range(2, max_size + 1):
         rest = F.slice("basket", F.col("at") + 2, F.greatest(F.size("basket") - F.col("at") - 1, F.lit(0)))
-        wider = level.select("basket", "w", "first", "at", "items", F.posexplode(rest).alias("j", "i"))
-        wider = wider.select("basket", "w", "first", (F.col("at") + F.col("j") + 1).alias("at"), F.concat("items", F.array("i")).alias("items"))
-        kept = wider.groupBy("items").agg(F.sum("w").alias("support"), F.min("first").alias("first_owner")).filter(F.col("support") >= min_count)
-        found = cut_lineage(kept.select("items", F.lit(size).alias("size"), "support", "first_owner"))
+        wider = level.select("basket", "w", "first", *words, "at", "items", F.posexplode(rest).alias("j", "i"))
+        wider = wider.select("basket", "w", "first", *words, (F.col("at") + F.col("j") + 1).alias("at"), F.concat("items", F.array("i")).alias("items"))
+        kept = wider.groupBy("items").agg(F.sum("w").alias("support"), F.min("first").alias("first_owner"), *[F.bit_and(b).alias(b) for b in words]).filter(F.col("support") >= min_count)
+        shared = sum((F.bit_count(b) for b in words), F.lit(0))
+        found = cut_lineage(kept.select("items", F.lit(size).alias("size"), "support", "first_owner", (shared == size).alias("closed")))
         out = found if out is None else out.unionByName(found)
         if size < max_size:
             if not found.take(1):
                 break
-            level = wider.join(found.select("items"), "items", "left_semi").select("basket", "w", "first", "at", "items")
+            level = wider.join(found.select("items"), "items", "left_semi").select("basket", "w", "first", *words, "at", "items")
     return out
 
 
 def closed_itemsets(sets: DataFrame) -> DataFrame:
-    """Itemsets without a strict superset of equal support.
-
-    A set is open exactly if adding one item keeps its support, so each set is compared
-    only with its parts of one item less, joined on the part itself.
-    """
-    parts = sets.filter("size > 2").select("support", F.explode("items").alias("x"), "items").select(F.array_remove("items", F.col("x")).alias("items"), "support")
-    return sets.join(parts.distinct(), ["items", "support"], "left_anti")
+    """Itemsets of frequent_itemsets() whose owners share no further item."""
+    return sets.filter("closed").drop("closed")

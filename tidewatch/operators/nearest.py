@@ -142,29 +142,58 @@ def similar_pairs(df: DataFrame, key: str, vec: str, least: float, digits: int =
     return met.groupBy("x", "y").applyInArrow(run, "src string, dst string")
 
 
-def nearest(df: DataFrame, vec: str, prototypes: DataFrame, key: str, pvec: str, out: str = "nearest", ordered: int = 1) -> DataFrame:
+def nearest(df: DataFrame, vec: str, prototypes: DataFrame, key: str, pvec: str, out: str = "nearest", ordered: int | None = 1, floor: float = -2.0) -> DataFrame:
     """Adds `out`: array of the `ordered` best (label, cosine) by descending cosine, ties to the smaller label; empty without prototypes.
 
-    A zero vector has cosine 0 with everything.
+    Cosines are at least `floor`; `ordered=None` gives all of these.  A zero vector has cosine 0 with
+    everything.  Prototypes are held BLOCK at a time; more of them take more passes, whose lists are merged.
     """
-    rows = prototypes.select(F.col(key).cast("string").alias("k"), F.col(pvec).cast("array<double>").alias("v")).orderBy("k").limit(BLOCK + 1).toPandas()
-    if len(rows) > BLOCK:
-        raise ValueError(f"more than {BLOCK} prototypes; assign in blocks")
     schema = "array<struct<label:string,cosine:double>>"
-    if not len(rows):
+    protos = prototypes.select(F.col(key).cast("string").alias("k"), F.col(pvec).cast("array<double>").alias("v")).filter("k is not null and v is not null")
+    head = protos.limit(BLOCK + 1).toPandas()
+    blocks = 1 if len(head) <= BLOCK else -(-protos.count() // BLOCK) * 2  # by hash, so some are larger than others
+    lists = []
+    for i in range(blocks):
+        rows = head if blocks == 1 else protos.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).toPandas()
+        if len(rows):
+            lists.append(_best(df, vec, rows.sort_values("k"), schema, ordered, floor))
+    if not lists:
         return df.withColumn(out, F.array().cast(schema))
+    if len(lists) == 1:
+        return df.withColumn(out, lists[0])
+
+    def before(a: Column, b: Column) -> Column:
+        x, y = F.round(a["cosine"], 12), F.round(b["cosine"], 12)
+        return F.when(x > y, -1).when(x < y, 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)
+
+    merged = F.array_sort(F.concat(*lists), before)
+    return df.withColumn(out, F.slice(merged, 1, ordered) if ordered else merged)
+
+
+def _best(df: DataFrame, vec: str, rows: pd.DataFrame, schema: str, ordered: int | None, floor: float) -> Column:
     names = rows["k"].to_numpy()
     p = np.stack([np.asarray(v, float) for v in rows["v"]])
     n = np.linalg.norm(p, axis=1, keepdims=True)
-    shared = df.sparkSession.sparkContext.broadcast((names, p / np.where(n > 0, n, 1)))
+    shared = df.sparkSession.sparkContext.broadcast((names, p / np.where(n > 0, n, 1)))  # at most a block
 
     @F.pandas_udf(schema)
     def run(v: pd.Series) -> pd.Series:
         names, p = shared.value
         x = np.stack([np.asarray(a, float) for a in v]) if len(v) else np.empty((0, p.shape[1]))
         n = np.linalg.norm(x, axis=1, keepdims=True)
-        s = (x / np.where(n > 0, n, 1)) @ p.T
-        top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :ordered]
-        return pd.Series([[{"label": names[j], "cosine": float(s[i, j])} for j in row] for i, row in enumerate(top)], index=v.index)
-
-    return df.withColumn(out, run(F.col(vec)))
+        x = x / np.where(n > 0, n, 1)
+        out = []
+        for i in range(0, len(x), 256):
+            s = x[i : i + 256] @ p.T
+            key = -np.round(s, 12)
+            if ordered == 1:
+                out += [[{"label": names[j], "cosine": float(row[j])}] if row[j] >= floor else [] for row, j in zip(s, key.argmin(axis=1), strict=True)]
+                continue
+            for row, k in zip(s, key, strict=True):
+                at = np.flatnonzero(row >= floor)
+                if ordered and ordered < len(at):  # all that reach the last place, then in order
+                    at = at[k[at] <= np.partition(k[at], ordered - 1)[ordered - 1]]
+                out.append([{"label": names[j], "cosine": float(row[j])} for j in at[np.argsort(k[at], kind="stable")][: ordered or None]])
+        return pd.Series(out, index=v.index, dtype=object)
+
+    return run(F.col(vec))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +19,9 @@ from .common import CMD, EV, SESS, command_events, events, slim_sessions
 
 
 
+MAX_SET = 6
+
+
 def uid() -> Column:
     """A session's key in one string; the sensor is part of it, since raw ids repeat across sensors."""
     return F.concat_ws(":", F.coalesce("sensor", F.lit("default")), "session_id")
@@ -31,13 +38,14 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def itemsets(spark: SparkSession, d: str) -> DataFrame:
-    """Playbooks that at least five addresses share, two to four together."""
-    s = frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4)
+    """Playbooks that at least five addresses share, two to six together."""
+    s = frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, MAX_SET)
     return s.select(F.array_join("items", ",").alias("items"), "size", "support")
 
 
 def closed_sets(spark: SparkSession, d: str) -> DataFrame:
-    s = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4))
+    """Those of two to six without one more playbook that the same addresses all have."""
+    s = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, MAX_SET))
     return s.select(F.array_join("items", ",").alias("items"), "size", "support")
 
 
@@ -50,7 +58,7 @@ def intent_itemsets(spark: SparkSession, d: str) -> DataFrame:
 
 def behaviour_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """Closed playbook sets with their members (addresses holding the whole set), and a content-addressed id."""
-    sets = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, 4))
+    sets = closed_itemsets(frequent_itemsets(_pairs(spark, d), "source_ip", "playbook_id", 5, MAX_SET))
     return sets.select(F.concat(F.lit("cmp-beh-"), X.short_hash(F.array_join("items", "|"))).alias("campaign_id"), F.array_join("items", ",").alias("playbooks"), F.col("support").alias("members"), F.col("first_owner").alias("first_member"))
 
 
@@ -144,11 +152,10 @@ def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def two_hop_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses linked through a shared dropped file (two hops over the property graph)."""
+    """Addresses linked through a shared dropped file (two hops over the property graph), as membership: all addresses of one file are linked, whatever pair one asks for."""
     f = events(spark, d).filter(F.col("file_sha256").isNotNull() & F.col("source.ip").isNotNull()).select(F.col("source.ip").alias("ip"), "file_sha256").distinct()
-    n = f.groupBy("file_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("ip").alias("hub"))
-    # Links to the least address of each file, not all pairs: a star spans the same neighbourhood.
-    return f.join(n, "file_sha256").filter("ip <> hub").groupBy("ip", "hub").agg(F.count_distinct("file_sha256").alias("files"))
+    n = f.groupBy("file_sha256").agg(F.count(F.lit(1)).alias("addresses"), F.min("ip").alias("hub")).filter("addresses > 1")
+    return f.join(n, "file_sha256").select("ip", "file_sha256", "hub", "addresses")
 
 
 def command_specificity(spark: SparkSession, d: str) -> DataFrame:
@@ -182,8 +189,27 @@ def name_collisions(spark: SparkSession, d: str) -> DataFrame:
 def mint_playbooks(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic ids minted from the member sessions of each stored cluster."""
     s = slim_sessions(spark, d, "cluster.id").filter(F.col("cluster_id").isNotNull()).withColumn("uid", uid())
-    g = s.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("uid")), "\n").alias("t"), F.count(F.lit(1)).alias("members"))
-    return g.select("cluster_id", "members", F.concat(F.lit("spb-"), X.short_hash(F.concat(F.lit("sescl-"), X.short_hash(F.col("t"))))).alias("minted_id"))
+    ordered = s.select("cluster_id", "uid").repartition("cluster_id").sortWithinPartitions("cluster_id", "uid")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes a cluster's members as they come by; none are held."""
+        held, members, h = None, 0, None
+        for b in batches:
+            done = []
+            for c, u in zip(b.column("cluster_id").to_pylist(), b.column("uid").to_pylist(), strict=True):
+                if c != held:
+                    if h:
+                        done.append((held, members, h.hexdigest()))
+                    held, members, h = c, 0, hashlib.sha256()
+                h.update((("\n" if members else "") + u).encode())
+                members += 1
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(("cluster_id", "members", "digest"), x, strict=True)) for x in done])
+        if h:
+            yield pa.RecordBatch.from_pylist([{"cluster_id": held, "members": members, "digest": h.hexdigest()}])
+
+    g = ordered.mapInArrow(digest, "cluster_id string, members bigint, digest string")
+    return g.select("cluster_id", "members", F.concat(F.lit("spb-"), X.short_hash(F.concat(F.lit("sescl-"), F.substring("digest", 1, 16)))).alias("minted_id"))
 
 
 QUERIES = {
@@ -210,6 +236,9 @@ def _sets(pair: str, k: int, size: int) -> str:
     return "WITH " + out[0] + ", s AS (" + " UNION ALL ".join(levels) + ")"
 
 
+#: Closed: no item outside the set is held by as many of its owners as the set has.
+_CLOSED = """own AS (SELECT s.items, s.support, s.l, h.o FROM s JOIN (SELECT o, list(i) AS l FROM p GROUP BY 1) h ON list_has_all(h.l, s.l)),
+    more AS (SELECT DISTINCT items FROM (SELECT own.items, p.i FROM own JOIN p USING (o) WHERE NOT list_contains(own.l, p.i) GROUP BY own.items, p.i, own.support HAVING count(*) = own.support)), c AS (SELECT * FROM s ANTI JOIN more USING (items))"""
 _ART = f"""a AS (SELECT DISTINCT * FROM (SELECT {_UID} AS uid, source.ip AS source_ip, 'url:' || i.ioc_value AS artifact FROM {CMD} JOIN (SELECT command_hash, unnest(indicators) AS i FROM commands) ON h = command_hash WHERE i.ioc_kind = 'url'
     UNION ALL SELECT {_UID}, source.ip, 'hash:' || file_sha256 FROM {EV} WHERE file_sha256 IS NOT NULL)), df AS (SELECT artifact, count(DISTINCT uid) AS df, count(DISTINCT source_ip) AS addresses FROM a GROUP BY 1)"""
 _COMP = f"""{_ART}, e AS (SELECT DISTINCT uid AS u, artifact AS v FROM a JOIN df USING (artifact) WHERE df >= 2), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
@@ -219,11 +248,11 @@ _COV = f"""s AS (SELECT {_UID} AS uid, playbook_id, command_set FROM {SESS} WHER
 SQL = {
     "ip_playbooks": f"""SELECT source.ip AS source_ip, string_agg(DISTINCT playbook_id, ',' ORDER BY playbook_id) AS playbooks, count(*) AS sessions, min(started_at) AS first_seen, max(started_at) AS last_seen
         FROM {SESS} WHERE source.ip IS NOT NULL AND playbook_id IS NOT NULL GROUP BY 1""",
-    "itemsets": _sets(_PAIR, 5, 4) + " SELECT items, size, support FROM s",
-    "closed_sets": _sets(_PAIR, 5, 4) + " SELECT items, size, support FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.support = s.support AND t.size > s.size AND list_has_all(t.l, s.l))",
+    "itemsets": _sets(_PAIR, 5, 6) + " SELECT items, size, support FROM s",
+    "closed_sets": _sets(_PAIR, 5, 6) + f", {_CLOSED} SELECT items, size, support FROM c",
     "intent_itemsets": _sets(f"p AS (SELECT DISTINCT {_UID} AS o, intent AS i FROM {CMD} JOIN commands ON h = command_hash WHERE intent IS NOT NULL)", 30, 3) + " SELECT items, size, support FROM s",
-    "behaviour_campaigns": _sets(_PAIR, 5, 4)
-    + """, c AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.support = s.support AND t.size > s.size AND list_has_all(t.l, s.l))), h AS (SELECT o, list(i) AS l FROM p GROUP BY 1)
+    "behaviour_campaigns": _sets(_PAIR, 5, 6)
+    + f""", {_CLOSED}, h AS (SELECT o, list(i) AS l FROM p GROUP BY 1)
         SELECT 'cmp-beh-' || substr(sha256(replace(items, ',', '|')), 1, 16) AS campaign_id, items AS playbooks, count(*) AS members, min(o) AS first_member FROM c JOIN h ON list_has_all(h.l, c.l) GROUP BY 1, 2""",
     "components": f"WITH RECURSIVE {_COMP} SELECT node, component FROM roots",
     "infrastructure_campaigns": f"""WITH RECURSIVE {_COMP}, m AS (SELECT a.*, df, component FROM a JOIN df USING (artifact) JOIN k ON k.node = a.uid WHERE df >= 2),
@@ -250,7 +279,7 @@ SQL = {
     "mint_playbooks": f"""SELECT cluster_id, members, 'spb-' || substr(sha256('sescl-' || substr(sha256(t), 1, 16)), 1, 16) AS minted_id FROM (SELECT cluster.id AS cluster_id, count(*) AS members, string_agg({_UID}, chr(10) ORDER BY {_UID}) AS t
         FROM {SESS} WHERE cluster.id IS NOT NULL GROUP BY 1)""",
     "two_hop_addresses": f"""WITH f AS (SELECT DISTINCT source.ip AS ip, file_sha256 FROM {EV} WHERE file_sha256 IS NOT NULL AND source.ip IS NOT NULL), h AS (SELECT *, min(ip) OVER (PARTITION BY file_sha256) AS hub FROM f)
-        SELECT ip, hub, count(DISTINCT file_sha256) AS files FROM h WHERE ip <> hub GROUP BY 1, 2""",
+        SELECT ip, file_sha256, hub, count(*) OVER (PARTITION BY file_sha256) AS addresses FROM h QUALIFY addresses > 1""",
 }
 _EDGES = f"""(SELECT kind, src, dst, count(*) AS weight FROM (WITH s AS (SELECT *, {_UID} AS uid FROM {SESS})
     SELECT 'saw' AS kind, source.ip AS src, uid AS dst FROM s UNION ALL SELECT 'ran', uid, h FROM (SELECT uid, unnest(command_set) AS h FROM s) UNION ALL SELECT 'dropped', {_UID}, file_sha256 FROM {EV}

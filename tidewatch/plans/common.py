@@ -37,5 +37,5 @@ def command_events(spark: SparkSession, d: str) -> DataFrame:
 
 EV = "(SELECT DISTINCT ON (event_id) * FROM raw_events)"
 SESS = "(SELECT * FROM sessions_rollup QUALIFY row_number() OVER (PARTITION BY sensor, session_id ORDER BY rolled_up_at DESC, login_fail_count DESC) = 1)"
-CMD = rf"""(SELECT *, substr(sha256(command), 1, 16) AS h FROM (SELECT *, substr(trim(regexp_replace(command_line, '\s+', ' ', 'g')), 1, 4096) AS command
+CMD = rf"""(SELECT *, substr(sha256(command), 1, 16) AS h FROM (SELECT *, trim(regexp_replace(command_line, '\s+', ' ', 'g')) AS command
     FROM {EV} WHERE event_action = 'command.input' AND command_line IS NOT NULL))"""

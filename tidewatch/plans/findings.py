@@ -38,10 +38,10 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds that more than a fifth of all sessions raise are suppressed."""
+    """Kinds that more than 0.5 percent of all sessions raise are suppressed."""
     total = slim_sessions(spark, d, "started_at").agg(F.count(F.lit(1)).alias("total"))
     n = _findings(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("emitted")).join(F.broadcast(total))
-    return n.select("kind", "emitted", F.round(F.col("emitted") / F.col("total"), 6).alias("share"), (F.col("emitted") / F.col("total") > 0.2).alias("suppressed"))
+    return n.select("kind", "emitted", F.round(F.col("emitted") / F.col("total"), 6).alias("share"), (F.col("emitted") / F.col("total") > 0.005).alias("suppressed"))
 
 
 def findings_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ SQL = {
         UNION ALL SELECT 'novel-busy', 500, * FROM s WHERE cluster.novelty_score >= 0.4 AND command_count >= 8)
         SELECT hunt_id, sensor, session_id, CAST(row_number() OVER (PARTITION BY hunt_id ORDER BY started_at DESC, sensor, session_id) AS INTEGER) AS rank,
         'find-hun-' || substr(sha256(hunt_id || ':' || sensor || ':' || session_id), 1, 16) AS finding_id FROM h QUALIFY rank <= cap""",
-    "noise_gate": f"WITH {_F}, t AS (SELECT count(*) AS total FROM {SESS}) SELECT kind, count(*) AS emitted, round(count(*) / any_value(total), 6) AS share, count(*) / any_value(total) > 0.2 AS suppressed FROM f, t GROUP BY 1",
+    "noise_gate": f"WITH {_F}, t AS (SELECT count(*) AS total FROM {SESS}) SELECT kind, count(*) AS emitted, round(count(*) / any_value(total), 6) AS share, count(*) / any_value(total) > 0.005 AS suppressed FROM f, t GROUP BY 1",
     "findings_upsert": f"""WITH {_F} SELECT finding_id, kind, score, CASE WHEN started_at < TIMESTAMPTZ '2026-01-15 00:00:00+00' THEN started_at - INTERVAL 1 DAY ELSE started_at END AS first_seen_at,
         CASE WHEN started_at < TIMESTAMPTZ '2026-01-15 00:00:00+00' THEN 'confirmed' ELSE 'new' END AS status FROM f""",
     "findings_tombstone": f"WITH {_F} SELECT finding_id, source_ip FROM f WHERE source_ip IN (SELECT source.ip FROM {SESS} WHERE source.ip IS NOT NULL AND started_at >= TIMESTAMPTZ '2026-01-20 00:00:00+00')",

@@ -39,7 +39,7 @@ def ip_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 def ip_credentials(spark: SparkSession, d: str) -> DataFrame:
     s = slim_sessions(spark, d, "source.ip", "credentials").filter(F.col("source_ip").isNotNull())
-    return s.select("source_ip", F.explode("credentials").alias("c")).groupBy("source_ip").agg(F.array_join(F.slice(F.array_sort(F.collect_set("c")), 1, 200), " ").alias("credentials"), F.count_distinct("c").alias("n"))
+    return s.select("source_ip", F.explode("credentials").alias("c")).groupBy("source_ip").agg(F.array_join(F.array_sort(F.collect_set("c")), " ").alias("credentials"), F.count_distinct("c").alias("n"))
 
 
 def ip_playbook_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -106,10 +106,9 @@ def intent_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_bags(spark: SparkSession, d: str) -> DataFrame:
-    """TF-IDF of session clusters inside each address's bag (40 largest), unit length."""
+    """TF-IDF of session clusters inside each address's bag unit length."""
     s = slim_sessions(spark, d, "source.ip", "cluster.id").filter(F.col("source_ip").isNotNull() & F.col("cluster_id").isNotNull())
     n = s.groupBy("source_ip", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("r", F.row_number().over(Window.partitionBy("source_ip").orderBy(F.desc("n"), "cluster_id"))).filter("r <= 40")
     df = n.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("df"))
     total = n.agg(F.count_distinct("source_ip").alias("total"))
     w = n.join(df, "cluster_id").join(F.broadcast(total)).withColumn("w", F.col("n") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
@@ -135,7 +134,7 @@ SQL = {
         count(DISTINCT playbook_id) AS playbooks, {PUBLIC_SQL} AS classification FROM {SESS} WHERE source.ip IS NOT NULL GROUP BY 1""",
     "ip_refresh": f"""WITH s AS (SELECT source.ip AS ip, started_at FROM {SESS} WHERE source.ip IS NOT NULL)
         SELECT ip AS source_ip, count(*) AS sessions FROM s WHERE ip IN (SELECT ip FROM s WHERE started_at > (SELECT max(started_at) FROM s) - INTERVAL 7 DAYS) GROUP BY 1""",
-    "ip_credentials": f"""SELECT source_ip, array_to_string(list_sort(list(DISTINCT c))[1:200], ' ') AS credentials, count(DISTINCT c) AS n FROM (SELECT source.ip AS source_ip, unnest(credentials) AS c FROM {SESS} WHERE source.ip IS NOT NULL) GROUP BY 1""",
+    "ip_credentials": f"""SELECT source_ip, array_to_string(list_sort(list(DISTINCT c)), ' ') AS credentials, count(DISTINCT c) AS n FROM (SELECT source.ip AS source_ip, unnest(credentials) AS c FROM {SESS} WHERE source.ip IS NOT NULL) GROUP BY 1""",
     "ip_playbook_distribution": f"""SELECT source_ip, playbook_id, n, CAST(row_number() OVER (PARTITION BY source_ip ORDER BY n DESC, playbook_id) AS INTEGER) AS rank FROM
         (SELECT source.ip AS source_ip, playbook_id, count(*) AS n FROM {SESS} WHERE source.ip IS NOT NULL AND playbook_id IS NOT NULL GROUP BY 1, 2)""",
     "ip_active_days": "SELECT DISTINCT source_ip, run_id, round(coalesce(greatest((epoch_us(last_seen) - epoch_us(first_seen)) / 86400e6, 0), 0), 6) AS active_days FROM (SELECT DISTINCT source_ip, run_id, first_seen, last_seen FROM ips_rollup)",
@@ -152,8 +151,7 @@ SQL = {
         SELECT source_ip, CASE WHEN slot IS NULL THEN 'other' ELSE m.cc END AS country, coalesce(slot, 0) AS slot FROM m LEFT JOIN t ON m.cc = t.cc""",
     "intent_shares": f"""SELECT source_ip, round(-sum(p * log2(p)), 4) + 0 AS diversity, round(max(n) / sum(n), 6) AS top_share, count(*) AS intents FROM (SELECT source_ip, n, n / sum(n) OVER (PARTITION BY source_ip) AS p FROM
         (SELECT source.ip AS source_ip, dominant_intent, count(*) AS n FROM {SESS} WHERE source.ip IS NOT NULL AND dominant_intent IS NOT NULL GROUP BY 1, 2)) GROUP BY 1""",
-    "cluster_bags": f"""WITH n AS (SELECT source.ip AS source_ip, cluster.id AS cluster_id, count(*) AS n FROM {SESS} WHERE source.ip IS NOT NULL AND cluster.id IS NOT NULL GROUP BY 1, 2
-        QUALIFY row_number() OVER (PARTITION BY source_ip ORDER BY n DESC, cluster_id) <= 40), df AS (SELECT cluster_id, count(*) AS df FROM n GROUP BY 1),
+    "cluster_bags": f"""WITH n AS (SELECT source.ip AS source_ip, cluster.id AS cluster_id, count(*) AS n FROM {SESS} WHERE source.ip IS NOT NULL AND cluster.id IS NOT NULL GROUP BY 1, 2), df AS (SELECT cluster_id, count(*) AS df FROM n GROUP BY 1),
         w AS (SELECT source_ip, n.cluster_id, n, n * (ln((1 + (SELECT count(DISTINCT source_ip) FROM n)) / (1 + df)) + 1) AS w FROM n JOIN df ON n.cluster_id = df.cluster_id)
         SELECT source_ip, cluster_id, n, round(w / sqrt(sum(w * w) OVER (PARTITION BY source_ip)), 6) AS weight FROM w""",
     "cluster_playbooks": f"""SELECT ip_cluster, playbook_id, n, CAST(row_number() OVER (PARTITION BY ip_cluster ORDER BY n DESC, playbook_id) AS INTEGER) AS rank FROM (SELECT ip_cluster, playbook_id, count(*) AS n FROM {SESS} s

@@ -15,9 +15,9 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     """One query ("root") over commands, playbooks and files, case-insensitive, merged by score, 40 best."""
     q = "root"
     c = table(spark, d, "commands").filter(F.lower("command_line").contains(q)).select(F.lit("command").alias("type"), F.col("command_hash").alias("id"), F.col("command_line").alias("label"), F.log1p(F.col("occurrence_count")).alias("score"))
-    p = table(spark, d, "session_clusters").filter(F.lower("playbook_name").contains(q[:2])).groupBy("playbook_id").agg(F.min("playbook_name").alias("label"), F.sum("n_sessions").alias("n"))
+    p = table(spark, d, "session_clusters").filter(F.contains(F.lower("playbook_name"), F.lit(q))).groupBy("playbook_id").agg(F.min("playbook_name").alias("label"), F.sum("n_sessions").alias("n"))
     p = p.select(F.lit("playbook"), "playbook_id", "label", F.log1p("n"))
-    f = events(spark, d).filter(F.lower("filename").contains(q[:2])).groupBy("file_sha256").agg(F.min("filename").alias("label"), F.count(F.lit(1)).alias("n")).filter("file_sha256 is not null")
+    f = events(spark, d).filter(F.contains(F.lower("filename"), F.lit(q))).groupBy("file_sha256").agg(F.min("filename").alias("label"), F.count(F.lit(1)).alias("n")).filter("file_sha256 is not null")
     f = f.select(F.lit("file"), "file_sha256", "label", F.log1p("n"))
     return c.union(p).union(f).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "type", "id").limit(40)
 
@@ -77,9 +77,16 @@ def standouts(spark: SparkSession, d: str) -> DataFrame:
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     """Sessions in order with the swim-lane of their sensor, gap to the one before on the lane, and the lane's total."""
     s = slim_sessions(spark, d, "started_at", "source.ip", "command_count").filter("started_at is not null and command_count > 0")
-    w = Window.partitionBy("sensor").orderBy("started_at", "session_id")
-    gap = F.floor((F.unix_micros("started_at") - F.unix_micros(F.lag("started_at").over(w))) / 1_000_000)
-    return s.select("sensor", "session_id", "started_at", "source_ip", F.row_number().over(w).alias("position"), gap.alias("gap_seconds"), F.count(F.lit(1)).over(Window.partitionBy("sensor")).alias("total"))
+    # Numbered day by day, and days placed by a table of a row per sensor and day, so a busy sensor is many tasks' work.
+    s = s.withColumn("day", F.to_date("started_at"))
+    lane = Window.partitionBy("sensor").orderBy("day")
+    days = s.groupBy("sensor", "day").agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last"))
+    days = days.select(
+        "sensor", "day", F.coalesce(F.sum("n").over(lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"), F.lag("last").over(lane).alias("previous"), F.sum("n").over(Window.partitionBy("sensor")).alias("total")
+    )
+    w = Window.partitionBy("sensor", "day").orderBy("started_at", "session_id")
+    gap = F.floor((F.unix_micros("started_at") - F.unix_micros(F.coalesce(F.lag("started_at").over(w), "previous"))) / 1_000_000)
+    return s.join(days, ["sensor", "day"]).select("sensor", "session_id", "started_at", "source_ip", (F.col("before") + F.row_number().over(w)).cast("int").alias("position"), gap.alias("gap_seconds"), "total")
 
 
 def sensor_health(spark: SparkSession, d: str) -> DataFrame:
@@ -131,8 +138,8 @@ _BANDS = f"""ax AS (SELECT min(CAST(started_at AS DATE)) AS a, max(CAST(started_
     bands AS (SELECT p.playbook_id, CAST(g.day AS DATE) AS day, coalesce(n, 0) AS n FROM (SELECT DISTINCT playbook_id FROM pb) p, (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM ax) g LEFT JOIN pb ON pb.playbook_id = p.playbook_id AND pb.day = CAST(g.day AS DATE))"""
 SQL = {
     "search": f"""SELECT * FROM (SELECT 'command' AS type, command_hash AS id, command_line AS label, round(ln(1 + occurrence_count), 6) AS score FROM commands WHERE contains(lower(command_line), 'root')
-        UNION ALL SELECT 'playbook', playbook_id, min(playbook_name), round(ln(1 + sum(n_sessions)), 6) FROM session_clusters WHERE contains(lower(playbook_name), 'ro') GROUP BY playbook_id
-        UNION ALL SELECT 'file', file_sha256, min(filename), round(ln(1 + count(*)), 6) FROM {EV} WHERE contains(lower(filename), 'ro') AND file_sha256 IS NOT NULL GROUP BY file_sha256) ORDER BY score DESC, type, id LIMIT 40""",
+        UNION ALL SELECT 'playbook', playbook_id, min(playbook_name), round(ln(1 + sum(n_sessions)), 6) FROM session_clusters WHERE contains(lower(playbook_name), 'root') GROUP BY playbook_id
+        UNION ALL SELECT 'file', file_sha256, min(filename), round(ln(1 + count(*)), 6) FROM {EV} WHERE contains(lower(filename), 'root') AND file_sha256 IS NOT NULL GROUP BY file_sha256) ORDER BY score DESC, type, id LIMIT 40""",
     "history_bands": f"WITH {_BANDS} SELECT playbook_id, day, n FROM bands",
     "history_score": f"""WITH {_BANDS}, x AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY playbook_id) AS m FROM bands WINDOW w AS (PARTITION BY playbook_id ORDER BY day)),
         y AS (SELECT *, max(CASE WHEN n > 0 THEN i END) OVER (PARTITION BY playbook_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM x),

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import dist as D
 from ..functions import text as X
 from ..session import table
-from .commands import PUBLIC_SQL
+from .commands import PREDICATE_SQL, PUBLIC_SQL, rule_hits
+from .commands import SQL as COMMANDS
 from .common import CMD, EV, SESS, command_events, events, slim_sessions
 
 KEY = ["sensor", "session_id"]
@@ -72,22 +73,22 @@ def session_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_signature(spark: SparkSession, d: str) -> DataFrame:
-    """Sorted unique command hashes (at most 128) and their 32-digit signature."""
-    s = _commands(spark, d).groupBy(*KEY).agg(F.slice(F.array_sort(F.collect_set("h")), 1, 128).alias("hs"))
+    """Sorted unique command hashes and their 32-digit signature."""
+    s = _commands(spark, d).groupBy(*KEY).agg(F.array_sort(F.collect_set("h")).alias("hs"))
     return s.select(*KEY, F.size("hs").alias("n"), X.short_hash(F.array_join("hs", "|"), 32).alias("signature"))
 
 
 def session_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive command pairs in time order (first 64 of a session), counted over all sessions."""
+    """Consecutive command pairs in time order, counted over all sessions."""
     w = Window.partitionBy(*KEY).orderBy("ts", "event_id")
-    p = _commands(spark, d).select(*KEY, "h", F.lead("h").over(w).alias("b"), F.row_number().over(w).alias("i")).filter(F.col("b").isNotNull() & (F.col("i") <= 64))
+    p = _commands(spark, d).select(*KEY, "h", F.lead("h").over(w).alias("b")).filter(F.col("b").isNotNull())
     return p.groupBy(F.col("h").alias("first_hash"), F.col("b").alias("second_hash")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*KEY)).alias("sessions"))
 
 
 def session_stream_text(spark: SparkSession, d: str) -> DataFrame:
-    """A session's commands in order as one text (hash and length given), up to 64 commands."""
+    """A session's commands in order as one text (hash and length given)."""
     s = _commands(spark, d).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "command"))).alias("x"))
-    t = F.array_join(F.slice(F.col("x.command"), 1, 64), "\n")
+    t = F.array_join("x.command", "\n")
     return s.select(*KEY, F.sha2(t, 256).alias("text_hash"), F.length(t).alias("chars"))
 
 
@@ -103,23 +104,38 @@ def session_novelty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """Kind-prefixed indicators and file hashes of a session, sorted, at most 200."""
+    """Kind-prefixed indicators, rule hits and file hashes of a session, sorted."""
     ioc = table(spark, d, "commands").select(F.col("command_hash").alias("h"), F.explode("indicators").alias("i")).select("h", F.concat_ws(":", "i.ioc_kind", "i.ioc_value").alias("a"))
     from_cmd = _commands(spark, d).select(*KEY, "h").join(ioc, "h").select(*KEY, "a")
     files = events(spark, d).filter(F.col("file_sha256").isNotNull()).select(*KEY, F.concat(F.lit("hash:"), F.col("file_sha256")).alias("a"))
-    s = from_cmd.unionByName(files).groupBy(*KEY).agg(F.slice(F.array_sort(F.collect_set("a")), 1, 200).alias("x"))
+    rules = rule_hits(spark, d).select(F.col("command_hash").alias("h"), F.explode(F.split("hits", ",")).alias("r")).select("h", F.concat(F.lit("rule:"), "r").alias("a"))
+    s = from_cmd.unionByName(files).unionByName(_commands(spark, d).select(*KEY, "h").distinct().join(rules, "h").select(*KEY, "a")).groupBy(*KEY).agg(F.array_sort(F.collect_set("a")).alias("x"))
     return s.select(*KEY, F.size("x").alias("n"), F.array_join("x", " ").alias("artifacts"))
 
 
-NOISE = r"(?i)^(?:(?:HTTP|RTSP|ICY)/\d|[a-z][a-z0-9+.-]*://|(?:GET|POST|HEAD|PUT|OPTIONS|CONNECT) |(?:host|user-agent|accept|content-type|content-length|connection|cookie):)"
+# What a web or streaming client says that never stands in a real credential.
+REQUEST_WORDS = ["GET", "POST", "HEAD", "PUT", "DELETE", "OPTIONS", "TRACE", "CONNECT", "PATCH"]
+HEADER_NAMES = ["user-agent", "accept-encoding", "accept-language", "content-length", "content-type", "cache-control", "cseq", "referer", "upgrade-insecure-requests"]
+
+
+def protocol_noise(c: F.Column) -> F.Column:
+    """A protocol version or URL scheme anywhere, a request word in front, or a header's name before a colon anywhere."""
+    version = F.exists(F.array(*map(F.lit, ["HTTP", "RTSP", "ICY"])), lambda p: F.regexp_like(c, F.concat(F.lit(r"\b"), p, F.lit(r"/\d"))))
+    scheme = F.lower(c).rlike(r"\b[a-z][a-z0-9+.-]*://")
+    request = F.upper(F.regexp_extract(c, r"^([A-Za-z]+)\s", 1)).isin(REQUEST_WORDS)
+    # Every piece that a colon ends, with what stands before its last name character taken off.
+    names = F.transform(F.split(F.lower(c), ":"), lambda x: F.regexp_extract(F.rtrim(x), r"([a-z-]+)$", 1))
+    before_colon = F.slice(names, 1, F.size(names) - 1)
+    header = F.exists(before_colon, lambda n: F.exists(F.array(*map(F.lit, HEADER_NAMES)), lambda h: (n == h) | F.endswith(n, F.concat(F.lit("-"), h))) | n.rlike(r"^(?:.*-)?(?:sec|x)-[a-z-]+$"))
+    return version | scheme | request | header
 
 
 def session_credentials(spark: SparkSession, d: str) -> DataFrame:
     """user:password pairs tried in a session without protocol noise; either side may be empty."""
     e = events(spark, d).filter(F.col("event_action").startswith("login.") & (F.col("user_name").isNotNull() | F.col("password").isNotNull()))
     cred = F.concat(F.coalesce("user_name", F.lit("")), F.lit(":"), F.coalesce("password", F.lit("")))
-    e = e.select(*KEY, cred.alias("c")).filter(~F.col("c").rlike(NOISE))
-    return e.groupBy(*KEY).agg(F.array_sort(F.collect_set("c")).alias("x")).select(*KEY, F.size("x").alias("n"), F.array_join(F.slice("x", 1, 200), " ").alias("credentials"))
+    e = e.select(*KEY, cred.alias("c")).filter(~protocol_noise(F.col("c")))
+    return e.groupBy(*KEY).agg(F.array_sort(F.collect_set("c")).alias("x")).select(*KEY, F.size("x").alias("n"), F.array_join("x", " ").alias("credentials"))
 
 
 def file_attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -138,9 +154,9 @@ def filename_match(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.split("filename", "/"), -1)
     f = f.withColumn("name", name).filter(F.col("name").rlike(r"\.[A-Za-z0-9]{1,6}$") | (F.length("name") >= 5))
     c = _commands(spark, d).select(*KEY, "ts", "event_id", "command", "h")
-    # Equal session first, then the token test; blank-bounded pieces make the test a lookup in a set of tokens.
-    tokens = F.split("command", r"[^A-Za-z0-9_.\-]+")
-    hit = f.join(c, KEY).filter(F.array_contains(tokens, F.col("name")))
+    # Joined on session and token, so a session's files don't meet all of its commands; only names that are sought are kept.
+    token = c.select(*KEY, "ts", "event_id", "h", F.explode(F.array_distinct(F.split("command", r"[^A-Za-z0-9_.\-]+"))).alias("name"))
+    hit = f.join(token.join(f.select("name").distinct(), "name", "left_semi"), [*KEY, "name"])
     return hit.groupBy(*KEY, "download_id", "name").agg(F.min_by("h", F.struct("ts", "event_id")).alias("command_hash"))
 
 
@@ -205,8 +221,8 @@ QUERIES = {
     )
 }
 
-_L = "'" + NOISE.replace("'", "''") + "'"
-_P = {k: "'" + v.replace("'", "''") + "'" for k, v in X.PREDICATES.items()}
+_NOISE = rf"""regexp_matches(c, '\b(HTTP|RTSP|ICY)/\d') OR regexp_matches(c, '(?i)\b[a-z][a-z0-9+.-]*://') OR regexp_matches(c, '(?i)^({'|'.join(REQUEST_WORDS)})\s')
+        OR regexp_matches(c, '(?i)\b({'|'.join(HEADER_NAMES)}|sec-[a-z-]+|x-[a-z-]+)\s*:')"""
 _ARCH = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(lower(command_line), '\b{a}\b') THEN '{a}' END" for a in X.ARCHITECTURES) + "], lambda x: x IS NOT NULL)"
 _ROLL = f"""SELECT sensor, session_id, coalesce(min(ts) FILTER (event_action = 'session.connect'), min(ts)) AS started_at, max(ts) FILTER (event_action = 'session.closed') AS ended_at,
     max(duration) FILTER (event_action = 'session.closed') AS duration, count(*) FILTER (event_action = 'login.success') AS login_success, count(*) FILTER (event_action = 'login.failed') AS login_failed,
@@ -225,19 +241,20 @@ SQL = {
     "session_entropy": f"""SELECT sensor, session_id, round(sum(-p * log2(p)), 4) + 0 AS entropy, CAST(sum(n) AS BIGINT) AS commands FROM (SELECT *, n / sum(n) OVER (PARTITION BY sensor, session_id) AS p FROM
         (SELECT sensor, session_id, h, count(*) AS n FROM {CMD} GROUP BY 1, 2, 3)) GROUP BY 1, 2""",
     "session_signature": f"""SELECT sensor, session_id, CAST(len(hs) AS INTEGER) AS n, substr(sha256(array_to_string(hs, '|')), 1, 32) AS signature FROM
-        (SELECT sensor, session_id, list_sort(list(DISTINCT h))[1:128] AS hs FROM {CMD} GROUP BY 1, 2)""",
-    "session_bigrams": f"""SELECT h AS first_hash, b AS second_hash, count(*) AS n, count(DISTINCT (sensor, session_id)) AS sessions FROM (SELECT sensor, session_id, h, lead(h) OVER w AS b, row_number() OVER w AS i
-        FROM {CMD} WINDOW w AS (PARTITION BY sensor, session_id ORDER BY ts, event_id)) WHERE b IS NOT NULL AND i <= 64 GROUP BY 1, 2""",
-    "session_stream_text": f"""SELECT sensor, session_id, sha256(t) AS text_hash, CAST(length(t) AS INTEGER) AS chars FROM (SELECT sensor, session_id, array_to_string(list(command ORDER BY ts, event_id)[1:64], chr(10)) AS t FROM {CMD} GROUP BY 1, 2)""",
+        (SELECT sensor, session_id, list_sort(list(DISTINCT h)) AS hs FROM {CMD} GROUP BY 1, 2)""",
+    "session_bigrams": f"""SELECT h AS first_hash, b AS second_hash, count(*) AS n, count(DISTINCT (sensor, session_id)) AS sessions FROM (SELECT sensor, session_id, h, lead(h) OVER w AS b
+        FROM {CMD} WINDOW w AS (PARTITION BY sensor, session_id ORDER BY ts, event_id)) WHERE b IS NOT NULL GROUP BY 1, 2""",
+    "session_stream_text": f"""SELECT sensor, session_id, sha256(t) AS text_hash, CAST(length(t) AS INTEGER) AS chars FROM (SELECT sensor, session_id, array_to_string(list(command ORDER BY ts, event_id), chr(10)) AS t FROM {CMD} GROUP BY 1, 2)""",
     "session_idf_weight": "SELECT command_hash, round(greatest(ln(100001 / (greatest(least(coalesce(occurrence_count, 1), 100000), 1) + 1)), 0.0001), 6) AS weight FROM commands",
     "session_novelty": f"""SELECT sensor, session_id, round(avg(CAST(cluster.novelty_score AS DOUBLE)), 4) AS mean_novelty, round(max(CAST(cluster.novelty_score AS DOUBLE)), 4) AS max_novelty, round(avg(confidence), 2) AS mean_confidence
         FROM {_UC} JOIN commands ON h = command_hash GROUP BY 1, 2""",
-    "session_artifacts": f"""SELECT sensor, session_id, CAST(len(x) AS INTEGER) AS n, array_to_string(x, ' ') AS artifacts FROM (SELECT sensor, session_id, list_sort(list(DISTINCT a))[1:200] AS x FROM (
+    "session_artifacts": f"""SELECT sensor, session_id, CAST(len(x) AS INTEGER) AS n, array_to_string(x, ' ') AS artifacts FROM (SELECT sensor, session_id, list_sort(list(DISTINCT a)) AS x FROM (
         SELECT sensor, session_id, i.ioc_kind || ':' || i.ioc_value AS a FROM {_UC} JOIN (SELECT command_hash, unnest(indicators) AS i FROM commands) ON h = command_hash
+        UNION ALL SELECT sensor, session_id, 'rule:' || r FROM {_UC} JOIN (SELECT command_hash, unnest(string_split(hits, ',')) AS r FROM ({COMMANDS['rule_hits']})) ON h = command_hash
         UNION ALL SELECT sensor, session_id, 'hash:' || file_sha256 FROM {EV} WHERE file_sha256 IS NOT NULL) GROUP BY 1, 2)""",
-    "session_credentials": f"""SELECT sensor, session_id, CAST(len(x) AS INTEGER) AS n, array_to_string(x[1:200], ' ') AS credentials FROM (SELECT sensor, session_id, list_sort(list(DISTINCT c)) AS x FROM
+    "session_credentials": f"""SELECT sensor, session_id, CAST(len(x) AS INTEGER) AS n, array_to_string(x, ' ') AS credentials FROM (SELECT sensor, session_id, list_sort(list(DISTINCT c)) AS x FROM
         (SELECT sensor, session_id, coalesce(user_name, '') || ':' || coalesce(password, '') AS c FROM {EV} WHERE event_action LIKE 'login.%' AND (user_name IS NOT NULL OR password IS NOT NULL))
-        WHERE NOT regexp_matches(c, {_L}) GROUP BY 1, 2)""",
+        WHERE NOT ({_NOISE}) GROUP BY 1, 2)""",
     "file_attribution": rf"""WITH c AS (SELECT * FROM {CMD}), f AS (SELECT * FROM {EV} WHERE event_action = 'session.file_download' AND file_sha256 IS NOT NULL)
         SELECT f.sensor, f.session_id, f.event_id, f.file_sha256, arg_max(c.h, (c.ts, c.event_id)) AS command_hash, CASE WHEN contains(arg_max(c.command_line, (c.ts, c.event_id)), any_value(f.url)) THEN 'url_match'
         WHEN contains(arg_max(c.command_line, (c.ts, c.event_id)), any_value(f.destfile)) THEN 'destfile_match' WHEN count(c.h) > 0 THEN 'preceding_command' END AS basis
@@ -248,9 +265,9 @@ SQL = {
         WHERE regexp_matches(name, '\.[A-Za-z0-9]{{1,6}}$') OR length(name) >= 5 GROUP BY 1, 2, 3, 4""",
     "hassh_fill": f"SELECT coalesce(hassh, md5(hassh_algorithms)) AS fingerprint, count(DISTINCT (sensor, session_id)) AS sessions FROM {EV} WHERE hassh IS NOT NULL OR hassh_algorithms IS NOT NULL GROUP BY 1",
     "class_aggregate": f"SELECT source.ip AS source_ip, {PUBLIC_SQL} AS classification, count(*) AS sessions FROM {SESS} GROUP BY 1",
-    "session_predicates": f"""WITH p AS (SELECT command_hash, {', '.join(f'coalesce(regexp_matches(command_line, {v}), false) AS {k}' for k, v in _P.items())},
+    "session_predicates": f"""WITH p AS (SELECT command_hash, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in PREDICATE_SQL.items())},
         coalesce(lower(trim(command_line)) IN ('sh', 'shell', 'enable', 'system', 'linuxshell', 'help', 'busybox'), false) AS menu, {_ARCH} AS arch FROM commands),
-        s AS (SELECT sensor, session_id, {', '.join(f'bool_or({k}) AS {k}' for k in _P)}, bool_and(menu) AS menu_only, len(list_distinct(flatten(list(arch)))) AS n FROM {_UC} JOIN p ON h = command_hash GROUP BY 1, 2)
+        s AS (SELECT sensor, session_id, {', '.join(f'bool_or({k}) AS {k}' for k in PREDICATE_SQL)}, bool_and(menu) AS menu_only, len(list_distinct(flatten(list(arch)))) AS n FROM {_UC} JOIN p ON h = command_hash GROUP BY 1, 2)
         SELECT sensor, session_id, has_uname_m OR (has_case_word AND n >= 1) OR n >= 2 AS multi_arch, has_c2_launch, has_self_spread, has_host_info, has_key_write AND has_immutability AS key_write_immutability, menu_only,
         has_directory_chain AND has_tool_fallback AS hetero_fallback FROM s""",
     "rollup_preserve": f"""SELECT s.sensor, s.session_id, coalesce(r.commands, s.command_count) AS command_count, s.playbook_id, s.cluster.id AS cluster_id FROM {SESS} s LEFT JOIN ({_ROLL}) r ON s.sensor = r.sensor AND s.session_id = r.session_id""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming.jobs import closed_sessions, deduplicated, file_stream, gap_sessions, run_to_end
+from ..streaming.jobs import closed_sessions, deduplicated, file_stream, gap_sessions, latest_revision, run_to_end
 from .common import EV
 
 
@@ -24,7 +24,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 def stream_closed_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions emitted when their close arrives, over first deliveries."""
     e = file_stream(spark, f"{d}/raw_events.parquet").select("event_id", "sensor", "session_id", "event_action", "ts")
-    return run_to_end(closed_sessions(deduplicated(e, "event_id", "ts")))
+    return latest_revision(run_to_end(closed_sessions(deduplicated(e, "event_id", "ts"))), "sensor", "session_id")
 
 
 QUERIES = {f.__name__: f for f in (stream_sessions, stream_dedup, stream_closed_sessions)}

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import dist as D
 from ..functions import text as X
 from ..session import table
-from .commands import RULES, _lit, _match, _rule
+from .commands import _DIGITS, _QUAD, RULES, _match, _rule
 from .common import SESS, slim_sessions
 from .lifecycle import SQL as LIFE
 from .lifecycle import drift_commands, drift_geo, drift_size
@@ -92,12 +92,11 @@ def session_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (retriage, rule_changes, nearest_addresses, indistinguishable, drift_findings, provider_merge, label_overlap, session_similarity)}
 
-_IPX = _lit(X.IPV4)
 _COVER = f"""s AS (SELECT sensor || ':' || session_id AS uid, playbook_id, command_set FROM {SESS} WHERE playbook_id IS NOT NULL), n AS (SELECT playbook_id, count(*) AS n FROM s GROUP BY 1),
     c AS (SELECT playbook_id, h, count(*) AS k FROM (SELECT playbook_id, unnest(list_distinct(command_set)) AS h FROM s) WHERE h IS NOT NULL GROUP BY 1, 2)"""
 SQL = {
     "retriage": f"""SELECT command_hash, array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(coalesce(indicators, []), lambda i: 'ioc_' || i.ioc_kind), lambda r: r <> 'ioc_ip'),
-        list_filter([CASE WHEN regexp_matches(command_line, {_IPX}) THEN 'ip_literal' END, CASE WHEN confidence <= 4 THEN 'low_confidence' END], lambda x: x IS NOT NULL)))), ',') AS reasons FROM commands""",
+        list_filter([CASE WHEN len(regexp_extract_all({_DIGITS}, {_QUAD})) > 0 THEN 'ip_literal' END, CASE WHEN confidence <= 4 THEN 'low_confidence' END], lambda x: x IS NOT NULL)))), ',') AS reasons FROM commands""",
     "rule_changes": "SELECT command_hash, added FROM (SELECT command_hash, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_match(k, v)} THEN '{i}' END" for i, k, v in RULES[3:]) + "], lambda x: x IS NOT NULL), ',') AS added FROM commands) WHERE added <> ''",
     "nearest_addresses": f"""WITH p AS (SELECT DISTINCT source.ip AS ip, playbook_id AS p FROM {SESS} WHERE source.ip IS NOT NULL AND playbook_id IS NOT NULL), n AS (SELECT p, count(*) AS n FROM p GROUP BY 1),
         j AS (SELECT x.p AS a, y.p AS b, count(*) AS common FROM p x JOIN p y ON x.ip = y.ip AND x.p <> y.p GROUP BY 1, 2), r AS (SELECT a, b, common, round(common / (na.n + nb.n - common), 6) AS jaccard FROM j JOIN n na ON na.p = a JOIN n nb ON nb.p = b)

@@ -111,7 +111,7 @@ def session_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_docs(spark: SparkSession, d: str) -> DataFrame:
     """Five strongest terms of each document: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length."""
-    t = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"))).alias("term"))
+    t = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"))).alias("term"))
     tf = t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = tf.agg(F.count_distinct("doc_id").alias("n"))
@@ -219,7 +219,7 @@ SQL = {
         round(CASE WHEN unique_sessions > 0 THEN least(occurrence_count / unique_sessions / 10, 1) ELSE 0 END * 0.05, 6) AS f_reuse FROM commands""",
     "session_scalars": f"""SELECT sensor, session_id, round(least(greatest(ln(1 + coalesce(command_count, 0)) / ln(1001), 0), 1), 6) AS f_commands, round(least(greatest(ln(1 + coalesce(unique_commands, 0)) / ln(1001), 0), 1), 6) AS f_unique,
         CAST(least(coalesce(login_success_count, 0), 1) AS DOUBLE) AS f_success, round(coalesce(cluster.novelty_score::DOUBLE, 0), 5) AS f_novelty FROM {SESS}""",
-    "tfidf_docs": """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) GROUP BY 1, 2),
+    "tfidf_docs": r"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]{2,}')) AS term FROM documents) GROUP BY 1, 2),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), w AS (SELECT doc_id, tf.term, tf, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.term = df.term),
         n AS (SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w)
         SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",

@@ -48,10 +48,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; only where none is set (tests), make one."""
+    """Keep the cluster's shared checkpoint folder; where none is set, one is made for a local session (tests), and a cluster is an error."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(f"file://{os.path.abspath(folder)}")

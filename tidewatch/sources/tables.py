@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,27 @@ def append(df: DataFrame, path: str, schema: T.StructType, strict: bool = True,
 
 
 def replace(df: DataFrame, path: str, schema: T.StructType, strict: bool = True) -> None:
-    """Overwrite a table by a result that may have been computed from it: the new rows are written and counted beside it first."""
+    """Put a result, which may have been computed from the table, in the table's place.
+
+    The new rows are written beside it and counted; only if all are there the folders change places, by
+    renaming.  A failure on the way leaves the old rows, at `path` or at `path`__old.
+    """
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}__next"
-    check_schema(df, schema, strict).write.mode("overwrite").parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(beside)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    at = path.rstrip("/")
+    beside, old = f"{at}__next", f"{at}__old"
+    seen = Observation()
+    check_schema(df, schema, strict).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(beside)
+    written = spark.read.parquet(beside).count()
+    if written != seen.get["n"]:
+        raise RuntimeError(f"{written} rows written of {seen.get['n']}; {path} is unchanged")
+    here, new, away = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (at, beside, old))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(away, True)
+    if fs.exists(here) and not fs.rename(here, away):
+        raise RuntimeError(f"{path} can't be moved away")
+    if not fs.rename(new, here):
+        raise RuntimeError(f"the new rows stay at {beside}, the old ones at {old}")
+    fs.delete(away, True)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

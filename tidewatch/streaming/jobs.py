@@ -51,18 +51,20 @@ def gap_sessions(events: DataFrame, user: str, time: str, gap: str, late: str) -
     return s.select(user, F.col("w.start").alias("started"), "ended", "events")
 
 
-CLOSED = "sensor string, session_id string, events long, commands long, started timestamp, ended timestamp"
-STATE = "events long, commands long, started timestamp, ended timestamp, closed boolean"
+CLOSED = "sensor string, session_id string, events long, commands long, started timestamp, ended timestamp, revision long"
+STATE = "events long, commands long, started timestamp, ended timestamp, closed boolean, revision long"
 
 
 def closing(is_close: Callable[[pd.DataFrame], pd.Series] = lambda b: b["event_action"] == "session.closed", idle_ms: int = 7 * 86_400_000) -> Callable:
-    """State function: counts a session's events until its close arrives, then emits one row; forgets idle sessions."""
+    """State function: counts a session's events; once its close has arrived, a row is emitted, and a further revision of it for
+    every later micro-batch with events of the session.  Sessions are forgotten when the watermark is `idle_ms` past their last event.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        events, commands, started, ended, closed = state.get if state.exists else (0, 0, None, None, False)
+        events, commands, started, ended, closed, revision = state.get if state.exists else (0, 0, None, None, False, 0)
         for b in batches:
             events += len(b)
             commands += int((b["event_action"] == "command.input").sum())
@@ -70,18 +72,23 @@ def closing(is_close: Callable[[pd.DataFrame], pd.Series] = lambda b: b["event_a
             started = lo if started is None else min(started, lo)
             ended = hi if ended is None else max(ended, hi)
             closed = bool(closed or is_close(b).any())
+        revision += closed
+        state.update((events, commands, started, ended, closed, revision))
+        # Event time only: a wall-clock timeout would keep an available-now run going for ever.
+        state.setTimeoutTimestamp(max(int(ended.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         if closed:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"sensor": [key[0]], "session_id": [key[1]], "events": [events], "commands": [commands], "started": [started], "ended": [ended]})
-        else:
-            state.update((events, commands, started, ended, closed))
-            # Event time only: a wall-clock timeout would keep an available-now run going for ever.
-            state.setTimeoutTimestamp(max(int(ended.timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
+            yield pd.DataFrame({"sensor": [key[0]], "session_id": [key[1]], "events": [events], "commands": [commands], "started": [started], "ended": [ended], "revision": [revision]})
 
     return run
 
 
+def latest_revision(rows: DataFrame, *key: str) -> DataFrame:
+    """The last revision of each key, without the revision: what a sink that upserts by key holds."""
+    rest = [c for c in rows.columns if c not in (*key, "revision")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "revision").alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
 def closed_sessions(events: DataFrame) -> DataFrame:
+    """Revisions of closed sessions; see latest_revision()."""
     e = events.select("sensor", "session_id", "event_action", "ts")
     return e.groupBy("sensor", "session_id").applyInPandasWithState(closing(), CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
