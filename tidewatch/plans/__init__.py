@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["addresses", "primitives", "commands", "sessions", "ips", "vectors", "campaigns", "lifecycle", "findings", "intel", "serving", "evaluation", "entities", "upkeep", "streams", "rollups", "features", "assignment", "tracking"]
+MODULES = ["addresses", "primitives", "commands", "sessions", "ips", "vectors", "campaigns", "lifecycle", "findings", "intel", "serving", "evaluation", "entities", "upkeep", "streams", "rollups", "features", "assignment", "tracking", "views"]
 
 
 def registry() -> tuple[dict, dict]:

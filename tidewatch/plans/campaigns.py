@@ -225,20 +225,21 @@ _PAIR = f"p AS (SELECT DISTINCT source.ip AS o, playbook_id AS i FROM {SESS} WHE
 
 
 def _sets(pair: str, k: int, size: int) -> str:
-    out = [pair]
-    froms = "p p1"
-    levels = []
+    """Level by level: owners' sets (own), each extended by a later item if it is frequent."""
+    own = [f"p AS MATERIALIZED (SELECT o, i FROM p0 WHERE i IN (SELECT i FROM p0 GROUP BY 1 HAVING count(*) >= {k}))", "v1 AS (SELECT o, i AS items, [i] AS l, i AS last FROM p)"]
     for s in range(2, size + 1):
-        froms += f" JOIN p p{s} ON p1.o = p{s}.o AND p{s - 1}.i < p{s}.i"
-        cols = " || ',' || ".join(f"p{j}.i" for j in range(1, s + 1))
-        lst = ", ".join(f"p{j}.i" for j in range(1, s + 1))
-        levels.append(f"SELECT {cols} AS items, CAST({s} AS INTEGER) AS size, count(*) AS support, [{lst}] AS l FROM {froms} GROUP BY ALL HAVING count(*) >= {k}")
-    return "WITH " + out[0] + ", s AS (" + " UNION ALL ".join(levels) + ")"
+        often = f" AND v.items IN (SELECT items FROM f{s - 1})" if s > 2 else ""
+        own.append(f"v{s} AS MATERIALIZED (SELECT v.o, v.items || ',' || p.i AS items, list_append(v.l, p.i) AS l, p.i AS last FROM v{s - 1} v JOIN p ON v.o = p.o WHERE p.i > v.last{often})")
+        own.append(f"f{s} AS MATERIALIZED (SELECT items, CAST({s} AS INTEGER) AS size, count(*) AS support, any_value(l) AS l FROM v{s} GROUP BY 1 HAVING count(*) >= {k})")
+    levels = range(2, size + 1)
+    return (
+        "WITH " + pair.replace("p AS", "p0 AS", 1) + ", " + ", ".join(own) + ", s AS (" + " UNION ALL ".join(f"SELECT * FROM f{x}" for x in levels) + "), held AS MATERIALIZED ("
+        + " UNION ALL ".join(f"SELECT o, items, l FROM v{x} WHERE items IN (SELECT items FROM f{x})" for x in levels) + ")"
+    )
 
 
 #: Closed: no item outside the set is held by as many of its owners as the set has.
-_CLOSED = """own AS (SELECT s.items, s.support, s.l, h.o FROM s JOIN (SELECT o, list(i) AS l FROM p GROUP BY 1) h ON list_has_all(h.l, s.l)),
-    more AS (SELECT DISTINCT items FROM (SELECT own.items, p.i FROM own JOIN p USING (o) WHERE NOT list_contains(own.l, p.i) GROUP BY own.items, p.i, own.support HAVING count(*) = own.support)), c AS (SELECT * FROM s ANTI JOIN more USING (items))"""
+_CLOSED = """more AS (SELECT DISTINCT g.items FROM (SELECT h.items, p.i, count(*) AS n FROM held h JOIN p USING (o) WHERE NOT list_contains(h.l, p.i) GROUP BY 1, 2) g JOIN s ON s.items = g.items AND s.support = g.n), c AS (SELECT * FROM s ANTI JOIN more USING (items))"""
 _ART = f"""a AS (SELECT DISTINCT * FROM (SELECT {_UID} AS uid, source.ip AS source_ip, 'url:' || i.ioc_value AS artifact FROM {CMD} JOIN (SELECT command_hash, unnest(indicators) AS i FROM commands) ON h = command_hash WHERE i.ioc_kind = 'url'
     UNION ALL SELECT {_UID}, source.ip, 'hash:' || file_sha256 FROM {EV} WHERE file_sha256 IS NOT NULL)), df AS (SELECT artifact, count(DISTINCT uid) AS df, count(DISTINCT source_ip) AS addresses FROM a GROUP BY 1)"""
 _COMP = f"""{_ART}, e AS (SELECT DISTINCT uid AS u, artifact AS v FROM a JOIN df USING (artifact) WHERE df >= 2), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
@@ -252,8 +253,8 @@ SQL = {
     "closed_sets": _sets(_PAIR, 5, 6) + f", {_CLOSED} SELECT items, size, support FROM c",
     "intent_itemsets": _sets(f"p AS (SELECT DISTINCT {_UID} AS o, intent AS i FROM {CMD} JOIN commands ON h = command_hash WHERE intent IS NOT NULL)", 30, 3) + " SELECT items, size, support FROM s",
     "behaviour_campaigns": _sets(_PAIR, 5, 6)
-    + f""", {_CLOSED}, h AS (SELECT o, list(i) AS l FROM p GROUP BY 1)
-        SELECT 'cmp-beh-' || substr(sha256(replace(items, ',', '|')), 1, 16) AS campaign_id, items AS playbooks, count(*) AS members, min(o) AS first_member FROM c JOIN h ON list_has_all(h.l, c.l) GROUP BY 1, 2""",
+    + f""", {_CLOSED}
+        SELECT 'cmp-beh-' || substr(sha256(replace(items, ',', '|')), 1, 16) AS campaign_id, items AS playbooks, count(*) AS members, min(o) AS first_member FROM c JOIN held USING (items) GROUP BY 1, 2""",
     "components": f"WITH RECURSIVE {_COMP} SELECT node, component FROM roots",
     "infrastructure_campaigns": f"""WITH RECURSIVE {_COMP}, m AS (SELECT a.*, df, component FROM a JOIN df USING (artifact) JOIN k ON k.node = a.uid WHERE df >= 2),
         h AS (SELECT component, count(DISTINCT uid) AS sessions, count(DISTINCT source_ip) AS addresses FROM m GROUP BY 1 HAVING count(DISTINCT uid) >= 3 AND count(DISTINCT source_ip) >= 2),
