@@ -21,19 +21,21 @@ from tidewatch.operators.upsert import tombstone, upsert
 
 
 
-def test_components_chain_star_single(spark):
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_components_chain_star_single(spark, one_task):
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
     random.Random(1).shuffle(chain)
     star = [("s000", f"s{i:03}") for i in range(1, 80)]
     edges = spark.createDataFrame([*chain, *star, ("z", "z"), (None, "q"), *chain[:3]], "src string, dst string")
-    got = {r.node: r.component for r in connected_components(edges).collect()}
+    got = {r.node: r.component for r in connected_components(edges, one_task=one_task).collect()}
     assert {got[f"c{i:03}"] for i in range(61)} == {"c000"}
     assert {got[f"s{i:03}"] for i in range(80)} == {"s000"}
     assert got["z"] == "z"
     assert "q" not in got
 
 
-def test_components_random_against_union_find(spark):
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_components_random_against_union_find(spark, one_task):
     rng = random.Random(7)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
     parent = list(range(120))
@@ -46,12 +48,13 @@ def test_components_random_against_union_find(spark):
     for a, b in pairs:
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src int, dst int")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src int, dst int"), one_task=one_task).collect()}
     assert got == {a: find(a) for p in pairs for a in p}
 
 
 def test_components_empty(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+    assert connected_components(spark.createDataFrame([], "src string, dst string"), one_task=0).count() == 0
 
 
 def brute_sets(baskets, k, size):
@@ -235,3 +238,33 @@ def test_similar_pairs_in_blocks(spark):
         rows = [tuple(r) for r in similar_pairs(df, "k", "v", 0.5, block=block).collect()]
         assert len(rows) == len(want)
         assert set(rows) == want
+
+
+def test_prototypes_in_blocks(spark, monkeypatch):
+    from tidewatch.operators import nearest as N
+
+    rng = np.random.default_rng(3)
+    p, x = rng.standard_normal((60, 8)), rng.standard_normal((40, 8))
+    protos = spark.createDataFrame([(f"p{i:02}", v.tolist()) for i, v in enumerate(p)] + [("null", None)], "k string, v array<double>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, [0.0] * 8)], "id int, e array<double>")
+
+    def run(**kw):
+        return {r.id: [(n.label, round(n.cosine, 9)) for n in r.nearest] for r in N.nearest(rows, "e", protos, "k", "v", **kw).collect()}
+
+    whole = {"one": run(), "three": run(ordered=3), "all": run(ordered=None, floor=0.3)}
+    monkeypatch.setattr(N, "BLOCK", 7)
+    assert whole == {"one": run(), "three": run(ordered=3), "all": run(ordered=None, floor=0.3)}
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (p / np.linalg.norm(p, axis=1, keepdims=True)).T
+    assert [n for n, _ in whole["three"][0]] == [f"p{j:02}" for j in np.argsort(-cos[0])[:3]]
+    assert {len(v) for k, v in whole["all"].items() if k != 99} == {int(n) for n in (cos >= 0.3).sum(axis=1)}
+    assert whole["one"][99] == [("p00", 0.0)]
+
+
+def test_closed_sets_of_long_baskets(spark):
+    """A set of the longest size isn't closed if its owners have one more item in common; more items than one word of bits holds."""
+    rows = [(o, f"i{j:03}") for o in range(6) for j in range(4)] + [(o, f"j{j:03}") for o in range(9) for j in range(70) if o < 3 or j < 2]
+    sets = frequent_itemsets(spark.createDataFrame(rows, "o int, i string").filter("i < 'j002' or o < 0"), "o", "i", 6, 3)
+    closed = {tuple(r["items"]): r.support for r in closed_itemsets(sets).collect()}
+    assert closed == {("j000", "j001"): 9}
+    wide = frequent_itemsets(spark.createDataFrame([(o, f"i{j:03}") for o in range(3) for j in range(65)] + [(9, "i000"), (9, "i001")], "o int, i string"), "o", "i", 3, 2)
+    assert {tuple(r["items"]) for r in closed_itemsets(wide).collect()} == {("i000", "i001")}
