@@ -232,3 +232,26 @@ def test_long_chain_of_names(spark):
     pairs = spark.createDataFrame([("x", f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("x", "z1", "z2")], "kind string, about string, other string")
     got = {r.cluster: r.root for r in C.merge_names(pairs).collect()}
     assert set(got.values()) == {"n000", "z1"}
+
+
+def test_records_link_nodes_whose_leaders_are_apart(spark, write):
+    """Two leaders 72 degrees apart share out a narrow group between them, of which nobody reaches both: its records are one Markov cluster."""
+    a, b, c = np.eye(V.DIM)[:3]
+    arc = [np.cos(t) * a + np.sin(t) * b for t in np.deg2rad([0, 72, *range(31, 36), *range(37, 41)])]
+    rows = [(f"r{i:02}", v.tolist()) for i, v in enumerate([*arc, c])]
+    d = write(commands=(rows, "command_hash string, embedding array<float>"), ips_rollup=([], "source_ip string, embedding array<float>"))
+    got = {r.record_key: r.cluster for r in C.p4_groups(spark, d).collect()}
+    assert {got[f"r{i:02}"] for i in range(11)} == {"r00"}
+    assert got["r11"] == "r11"
+    assert {(r.cluster, r.n) for r in C.p4_clusters(spark, d).collect()} == {("r00", 11)}
+
+
+def test_a_key_that_leads_two_groups(spark, write):
+    """One key with two vectors that don't resemble each other, each first in a group of its own: both groups are found."""
+    x = groups(2, 6, 0, seed=7)
+    keys = ["k", *(f"a{i}" for i in range(5)), "k", *(f"b{i}" for i in range(5))]
+    rows = [(k, v.tolist()) for k, v in zip(keys, x, strict=True)]
+    d = write(commands=(rows, "command_hash string, embedding array<float>"), ips_rollup=([], "source_ip string, embedding array<float>"))
+    got = {(r.cluster_key, r.record_key) for r in C.p4_found(spark, d).collect()}
+    assert got == {("a0", k) for k in keys[:6]} | {("b0", k) for k in keys[6:]}
+    assert len({r.cluster for r in C.p4_groups(spark, d).collect()}) == 2

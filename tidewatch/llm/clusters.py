@@ -29,6 +29,7 @@ one cluster; empty tables give no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,8 @@ PIVOT_BLOCK = 20_000
 LEADERS_IN_MEMORY = 200_000
 SHARD_ROWS = 8_192
 TYPICAL = 3
+#: Letters of the digest in a leader's name.
+DIGEST = 16
 SLACK = 1e-4
 
 
@@ -90,7 +93,10 @@ def cover(x: np.ndarray, tau: float = TAU) -> np.ndarray:
 
 
 def collapse(vectors: DataFrame) -> DataFrame:
-    """(kind, key, leader, leads, vec): each record with its leader inside the task's chunk; vec as packed unit row."""
+    """(kind, key, leader, leads, vec): each record with its leader inside the task's chunk; vec as packed unit row.
+
+    A leader is named by its key and a digest of its vector, since a key with several vectors may lead with each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +107,9 @@ def collapse(vectors: DataFrame) -> DataFrame:
                 x = unit_rows(sub["vec"])
                 lead = cover(x)
                 keys = sub["key"].combine_chunks()
+                own = {i: f"{keys[i].as_py()}:{hashlib.blake2b(x[i].tobytes(), digest_size=DIGEST // 2).hexdigest()}" for i in np.unique(lead).tolist()}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(x)), keys, keys.take(pa.array(lead)), pa.array(lead == np.arange(len(x))), packed(x)], names=["kind", "key", "leader", "leads", "vec"]
+                    [pa.array([kind] * len(x)), keys, pa.array([own[i] for i in lead.tolist()]), pa.array(lead == np.arange(len(x))), packed(x)], names=["kind", "key", "leader", "leads", "vec"]
                 )
 
         held, n = [], 0
@@ -171,13 +178,25 @@ def graph(leaders: DataFrame, cells: dict[str, Cells]) -> DataFrame:
     return placed.groupBy("kind", "grp").applyInArrow(link, "kind string, key string, node string, sim float, home boolean")
 
 
+def both_ways(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Each row also with `a` and `b` changed over; one row made two, as a union of both readings lost rows, see `stacked`."""
+    ways = F.explode(F.array(F.struct(F.col(a).alias(a), F.col(b).alias(b)), F.struct(F.col(b).alias(a), F.col(a).alias(b))))
+    rest = [c for c in df.columns if c not in (a, b)]
+    return df.select(*rest, ways.alias("way")).select(*[f"way.{c}" if c in (a, b) else c for c in df.columns])
+
+
+def stacked(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Union that makes no claim on partitioning: with Spark 4.1's spark.sql.unionOutputPartitioning, a union of tables partitioned alike lost rows (tested)."""
+    return x.unionByName(y.withColumn("kind", F.concat("kind", F.lit(""))))
+
+
 def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS) -> DataFrame:
     """(kind, node, cluster, flow) of all `nodes` (kind, node), or of those with an edge; `edges` is (kind, a, b, w), one row per unordered pair.
 
     Columns of the matrix are sources of flow: entry (i, j) is the flow from j to i.  A node without edges keeps its
     flow to itself in every round, so only the others are squared.
     """
-    both = edges.select("kind", F.col("a").alias("i"), F.col("b").alias("j"), "w").unionByName(edges.select("kind", F.col("b").alias("i"), F.col("a").alias("j"), "w"))
+    both = cut_lineage(both_ways(edges.withColumnsRenamed({"a": "i", "b": "j"}), "i", "j"))
     joined = both.select("kind", "i").distinct()
     loops = joined.select("kind", "i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
 
@@ -186,7 +205,7 @@ def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation:
     def scaled(m: DataFrame) -> DataFrame:
         return m.withColumn("v", F.col("v") / F.sum("v").over(column))
 
-    m = cut_lineage(scaled(both.unionByName(loops).withColumnRenamed("w", "v")).withColumn("real", F.lit(True)))
+    m = cut_lineage(scaled(stacked(both, loops).withColumnRenamed("w", "v")).withColumn("real", F.lit(True)))
     if not m.take(1):
         return clusters_of(m, nodes)
     before, same = None, 0
@@ -215,7 +234,7 @@ def clusters_of(m: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     attractors = flow.filter("i = j").select("kind", "i")
     fed = flow.join(attractors, ["kind", "i"])
     among = fed.filter("i <> j").join(attractors.withColumnRenamed("i", "j"), ["kind", "j"]).select("kind", F.col("i").alias("about"), F.col("j").alias("other"))
-    systems = merge_names(among.unionByName(attractors.select("kind", F.col("i").alias("about"), F.col("i").alias("other"))))
+    systems = merge_names(stacked(among, attractors.select("kind", F.col("i").alias("about"), F.col("i").alias("other"))))
     system = systems.select("kind", F.col("cluster").alias("i"), F.col("root").alias("cluster"))
     share = fed.join(system, ["kind", "i"]).groupBy("kind", F.col("j").alias("node"), "cluster").agg(F.sum("v").alias("v"))
     placed = share.groupBy("kind", "node").agg(F.min_by("cluster", F.struct(-F.col("v"), F.col("cluster"))).alias("cluster"))
@@ -225,20 +244,24 @@ def clusters_of(m: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         return out
     # A column that is at rest has its flow on attractors; a node without edges is its own.
     alone = nodes.select("kind", "node").distinct().join(m.select("kind", F.col("j").alias("node")).distinct(), ["kind", "node"], "left_anti")
-    return out.unionByName(alone.select("kind", "node", F.col("node").alias("cluster"), F.lit(1.0).alias("flow")))
+    return stacked(out, alone.select("kind", "node", F.col("node").alias("cluster"), F.lit(1.0).alias("flow")))
+
 
+def clustered(vectors: DataFrame, kinds: list[str], whole: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """(records, groups): records (kind, key, leader, leads, vec) and groups (kind, leader, cluster, flow).
 
-def clustered(vectors: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame] | None:
-    """(records, groups): records (kind, key, leader, leads, vec) and groups (kind, leader, cluster, flow)."""
+    Whole: nodes are linked wherever any of their records reach TAU, not only through leaders.  For groups that are verified
+    afterwards the leaders' links are enough.
+    """
     records = cut_lineage(collapse(vectors))
-    leaders = records.filter("leads").select("kind", "key", "vec")
+    leaders = records.filter("leads").select("kind", F.col("leader").alias("key"), "vec")
     # The cells are fitted in the plain space: distances don't depend on a rotation.
     cells = fit_cells(leaders.select("kind", "key", as_floats("vec").alias("vec")), kinds, np.eye(DIM, dtype=np.float32))
     if not cells:
         return None
     linked = cut_lineage(graph(leaders, cells))
     home = linked.filter("home").select("kind", "key", "node").distinct()
-    edges = (
+    edges = record_links(records, home) if whole else (
         linked.filter(~F.col("home"))
         .select("kind", "key", F.col("node").alias("other"), "sim")
         .join(home, ["kind", "key"])
@@ -296,11 +319,11 @@ def pivots(labelled: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "cluster").applyInArrow(mean, "kind string, cluster string, pivot binary")
 
 
-def open_rows(labelled: DataFrame, block: list, limit: float) -> DataFrame:
+def open_rows(labelled: DataFrame, block: list, limit: float, inside: bool = True) -> DataFrame:
     """(kind, about, cluster, key, vec, own): records against the pivots of `block` that the bounds leave open.
 
     `block` holds (kind, cluster, pivot, radius).  Own: the record is a member and may be too far from another member.
-    Otherwise it is no member and may reach one.
+    Otherwise it is no member and may reach one.  Without `inside` own records are left out.
     """
     model = labelled.sparkSession.sparkContext.broadcast(
         {
@@ -327,7 +350,7 @@ def open_rows(labelled: DataFrame, block: list, limit: float) -> DataFrame:
                     s = x[i : i + 2048] @ p.T
                     at = mine[i : i + 2048]
                     rows = np.flatnonzero(at >= 0)
-                    is_far = s[rows, at[rows]] < far[at[rows]]
+                    is_far = (s[rows, at[rows]] < far[at[rows]]) & inside
                     s[rows, at[rows]] = -2
                     a, c = np.nonzero(s >= reach[None, :])
                     a, c = np.concatenate([a, rows[is_far]]), np.concatenate([c, at[rows[is_far]]])
@@ -341,8 +364,8 @@ def open_rows(labelled: DataFrame, block: list, limit: float) -> DataFrame:
     return labelled.select("kind", "cluster", "key", "vec").mapInArrow(run, "kind string, about string, cluster string, key string, vec binary")
 
 
-def check_open(rows: DataFrame, members: DataFrame, spark: SparkSession) -> DataFrame:
-    """(kind, about, other): clusters that fail the definition; other is what they touch (about itself if a pair inside is too far)."""
+def check_open(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(kind, about, other, sim): what speaks against a cluster: another that it touches, with the highest similarity, or itself if a pair inside is too far."""
     sizes = rows.groupBy("kind", "about").agg(F.count(F.lit(1)).alias("nq"))
     held = members.join(sizes, (members.kind == sizes.kind) & (members.cluster == sizes.about), "left_semi").groupBy("kind", F.col("cluster").alias("about")).agg(F.count(F.lit(1)).alias("nm"))
     plan = cut_lineage(sizes.join(held, ["kind", "about"]).select("kind", "about", F.ceil(F.col("nq") / SHARD_ROWS).alias("sq"), F.ceil(F.col("nm") / SHARD_ROWS).alias("sm")))
@@ -359,18 +382,37 @@ def check_open(rows: DataFrame, members: DataFrame, spark: SparkSession) -> Data
         about = t["about"][0].as_py()
         names = np.asarray(t["cluster"].to_pylist(), object)[is_q]
         qv, mv = x[is_q], x[~is_q]
-        bad = set()
+        bad: dict = {}
         for i in range(0, len(qv), 1024):
             if not len(mv):
                 break
             s = qv[i : i + 1024] @ mv.T
             inside = names[i : i + 1024] == about
             if inside.any() and (s[inside] < TAU).any():
-                bad.add(about)
-            bad.update(names[i : i + 1024][~inside][(s[~inside] >= TAU).any(axis=1)].tolist())
-        return pa.table({"kind": pa.array([t["kind"][0].as_py()] * len(bad), pa.string()), "about": pa.array([about] * len(bad), pa.string()), "other": pa.array(sorted(bad), pa.string())})
+                bad[about] = 0.0
+            best = s[~inside].max(axis=1)
+            for name, sim in zip(names[i : i + 1024][~inside][best >= TAU].tolist(), best[best >= TAU].tolist(), strict=True):
+                bad[name] = max(sim, bad.get(name, 0.0))
+        return pa.table(
+            {"kind": pa.array([t["kind"][0].as_py()] * len(bad), pa.string()), "about": pa.array([about] * len(bad), pa.string()), "other": pa.array(list(bad), pa.string()), "sim": pa.array(list(bad.values()), pa.float64())}
+        )
+
+    found = stacked(q, m).groupBy("kind", "about", "x", "y").applyInArrow(run, "kind string, about string, other string, sim double")
+    return found.groupBy("kind", "about", "other").agg(F.max("sim").alias("sim"))
+
 
-    return q.unionByName(m).groupBy("kind", "about", "x", "y").applyInArrow(run, "kind string, about string, other string").distinct()
+def record_links(records: DataFrame, home: DataFrame) -> DataFrame:
+    """(kind, a, b, w): all pairs of nodes of which any two records reach TAU, with their highest similarity.
+
+    Exact: every record is compared with every node's pivot, and with a node's records where the bound leaves it open.
+    """
+    node = home.select("kind", F.col("key").alias("leader"), F.col("node").alias("cluster"), F.lit(0.0).alias("flow"))
+    labelled = cut_lineage(label(records, node).select("kind", "key", "cluster", "leads", "vec"))
+    _, found = compared(labelled, labelled.select("kind", "cluster").distinct(), inside=False)
+    if found is None:
+        return home.select("kind", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("w")).limit(0)
+    pairs = check_open(found, labelled.select("kind", "cluster", "key", "vec"))
+    return pairs.groupBy("kind", F.least("about", "other").alias("a"), F.greatest("about", "other").alias("b")).agg(F.max("sim").alias("w"))
 
 
 def joined_fragments(records: DataFrame, groups: DataFrame) -> DataFrame:
@@ -412,10 +454,20 @@ def joined_fragments(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def checked(labelled: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, failed): clusters (kind, cluster) of at least MIN_SIZE records, of `only` if given, and what speaks against them (kind, about, other)."""
-    spark, limit = labelled.sparkSession, float(np.arccos(TAU))
     sized = labelled.groupBy("kind", "cluster").agg(F.count_distinct("key").alias("n")).filter(F.col("n") >= MIN_SIZE).select("kind", "cluster")
     if only is not None:
         sized = sized.join(only, ["kind", "cluster"], "left_semi")
+    candidates, found = compared(labelled, sized)
+    if found is None:
+        return candidates, labelled.sparkSession.createDataFrame([], "kind string, about string, other string")
+    failed = cut_lineage(check_open(found, labelled.select("kind", "cluster", "key", "vec")).drop("sim"))
+    let_go(labelled)
+    return candidates, failed
+
+
+def compared(labelled: DataFrame, sized: DataFrame, inside: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(candidates, open): the clusters (kind, cluster) of `sized`, and all records that their bounds leave open, see `open_rows`; None if there are no clusters."""
+    limit = float(np.arccos(TAU))
     candidates = cut_lineage(pivots(labelled).join(sized, ["kind", "cluster"]))
     few = candidates.count() <= PIVOT_BLOCK
     let_go(labelled)
@@ -432,20 +484,18 @@ def checked(labelled: DataFrame, only: DataFrame | None = None) -> tuple[DataFra
     bounded = cut_lineage(candidates.join(radius, ["kind", "cluster"]).withColumn("part", F.floor((F.row_number().over(w) - 1) / (PIVOT_BLOCK // 64))))
     last = bounded.agg(F.max("part")).first()[0]
     if last is None:
-        return candidates.select("kind", "cluster"), spark.createDataFrame([], "kind string, about string, other string")
+        return candidates.select("kind", "cluster"), None
     open_ = None
     for part in range(last + 1):
-        rows = open_rows(labelled, bounded.filter(F.col("part") == part).collect(), limit)
-        open_ = rows if open_ is None else open_.unionByName(rows)
+        rows = open_rows(labelled, bounded.filter(F.col("part") == part).collect(), limit, inside)
+        open_ = rows if open_ is None else stacked(open_, rows)
     found = cut_lineage(open_)
     let_go(labelled)
-    failed = cut_lineage(check_open(found, labelled.select("kind", "cluster", "key", "vec"), spark))
-    let_go(labelled)
-    return candidates.select("kind", "cluster"), failed
+    return candidates.select("kind", "cluster"), found
 
 
 def passed(candidates: DataFrame, failed: DataFrame) -> DataFrame:
-    against = failed.select("kind", F.col("about").alias("cluster")).unionByName(failed.select("kind", F.col("other").alias("cluster")))
+    against = failed.select("kind", F.explode(F.array("about", "other")).alias("cluster"))
     return candidates.join(against, ["kind", "cluster"], "left_anti")
 
 
@@ -462,7 +512,7 @@ def verified(records: DataFrame, groups: DataFrame) -> DataFrame:
         # Clusters that passed touch nobody and stay as they are; only merged ones are checked again.
         merged = merge_names(touching)
         labelled = cut_lineage(labelled.join(merged, ["kind", "cluster"], "left").select("kind", "key", F.coalesce("root", "cluster").alias("cluster"), "leads", "vec"))
-        good = good.unionByName(passed(*checked(labelled, merged.select("kind", F.col("root").alias("cluster")).distinct())))
+        good = stacked(good, passed(*checked(labelled, merged.select("kind", F.col("root").alias("cluster")).distinct())))
     return labelled.join(cut_lineage(good), ["kind", "cluster"]).select("kind", "key", "cluster").distinct()
 
 
@@ -472,7 +522,7 @@ def merge_names(pairs: DataFrame) -> DataFrame:
     Every round takes the least name among a cluster and its neighbours, then the name that one has by now, so
     distances halve; a written table each round.  Names only fall, so it ends.
     """
-    both = cut_lineage(pairs.select("kind", F.col("about").alias("a"), F.col("other").alias("b")).unionByName(pairs.select("kind", F.col("other").alias("a"), F.col("about").alias("b"))).distinct())
+    both = cut_lineage(both_ways(pairs.select("kind", F.col("about").alias("a"), F.col("other").alias("b")), "a", "b").distinct())
     root = both.select("kind", F.col("a").alias("cluster")).distinct().withColumn("root", F.col("cluster"))
     while True:
         seen = both.join(root.select("kind", F.col("cluster").alias("b"), "root"), ["kind", "b"]).groupBy("kind", F.col("a").alias("cluster")).agg(F.min("root").alias("least"))
@@ -503,20 +553,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(least, ["kind", "cluster"]).select(F.col("kind").alias("record_kind"), "cluster_key", F.col("key").alias("record_key")).distinct()
 
 
+def with_short_names(groups: DataFrame) -> DataFrame:
+    """Clusters named by the key of their first node, without its digest unless several of a kind have that key."""
+    names = groups.select("kind", "cluster").distinct().withColumn("short", F.expr(f"left(cluster, length(cluster) - {DIGEST + 1})"))
+    shared = F.count(F.lit(1)).over(Window.partitionBy("kind", "short")) > 1
+    names = names.select("kind", "cluster", F.when(shared, F.col("cluster")).otherwise(F.col("short")).alias("name"))
+    return groups.join(names, ["kind", "cluster"]).select("kind", "leader", F.col("name").alias("cluster"), "flow")
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record's Markov cluster, named by its first node."""
-    parts = clustered(_vectors(spark, sf_dir), KINDS)
+    parts = clustered(_vectors(spark, sf_dir), KINDS, whole=True)
     if parts is None:
         return spark.createDataFrame([], "record_kind string, record_key string, cluster string")
-    return label(*parts).select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"), "cluster").distinct()
+    return label(parts[0], with_short_names(parts[1])).select(F.col("kind").alias("record_kind"), F.col("key").alias("record_key"), "cluster").distinct()
 
 
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical members of each cluster of at least MIN_SIZE: strongest flow first, then nearest the pivot."""
-    parts = clustered(_vectors(spark, sf_dir), KINDS)
+    parts = clustered(_vectors(spark, sf_dir), KINDS, whole=True)
     if parts is None:
         return spark.createDataFrame([], "record_kind string, cluster string, n bigint, typical array<string>")
-    labelled = label(*parts)
+    labelled = label(parts[0], with_short_names(parts[1]))
     sized = labelled.groupBy("kind", "cluster").agg(F.count_distinct("key").alias("n")).filter(F.col("n") >= MIN_SIZE)
     pivot = pivots(labelled)
 
