@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
@@ -255,3 +257,30 @@ def test_a_key_that_leads_two_groups(spark, write):
     got = {(r.cluster_key, r.record_key) for r in C.p4_found(spark, d).collect()}
     assert got == {("a0", k) for k in keys[:6]} | {("b0", k) for k in keys[6:]}
     assert len({r.cluster for r in C.p4_groups(spark, d).collect()}) == 2
+
+
+def test_components_walk_alike_in_a_task_and_by_joins(spark, monkeypatch):
+    """A bridge, a path, an even group and a pair, each walked in one task and by joins; names connected both ways too."""
+    k = [(f"{g}{i}", f"{g}{j}", 0.9) for g in "abe" for i in range(5) for j in range(i + 1, 5)]
+    edges = spark.createDataFrame([("x", *e) for e in [*k, ("a0", "b0", 0.05), ("p1", "p2", 0.8), ("p2", "p3", 0.85), ("q1", "q2", 0.99)]], "kind string, a string, b string, w double")
+    nodes = spark.createDataFrame([("x", "z"), ("x", "a0")], "kind string, node string")
+    got = {r.node: (r.cluster, round(r.flow, 6)) for r in C.markov_clusters(edges, nodes).collect()}
+    assert {v[0] for v in got.values()} >= {"a0", "b0", "e0", "q1", "z"}
+    monkeypatch.setattr(C, "WIDE", 1)
+    monkeypatch.setattr(C, "LINKS_IN_TASK", 0)
+    assert {r.node: (r.cluster, round(r.flow, 6)) for r in C.markov_clusters(edges, nodes).collect()} == got
+
+
+def test_the_driver_gets_centres_only(spark, monkeypatch):
+    """Cells are fitted in a task: the driver neither gets the sample nor works on it."""
+    x = groups(10, 40, 100)
+    here, real = os.getpid(), V.kmeans
+
+    def elsewhere(x, cells):
+        assert os.getpid() != here
+        return real(x, cells)
+
+    monkeypatch.setattr(V, "kmeans", elsewhere)
+    cells = V.fit_cells(frame(spark, x), ["k"], V.rotation())["k"]
+    assert cells.centres.shape == (1, V.DIM)
+    assert cells.shards.tolist() == [1]

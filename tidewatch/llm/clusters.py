@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +55,9 @@ ROUNDS = 100
 REAL = 0.1
 #: Rounds in a row without a change of where any flow goes, after which the walk stands still.
 STILL = 3
+#: Nodes of a component that walks in one task, and pairs of names connected in one task.
+WIDE = 512
+LINKS_IN_TASK = 1_000_000
 #: Pivots held in memory by one pass over all records; more pivots take more passes.
 PIVOT_BLOCK = 20_000
 LEADERS_IN_MEMORY = 200_000
@@ -193,10 +197,81 @@ def stacked(x: DataFrame, y: DataFrame) -> DataFrame:
 def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS) -> DataFrame:
     """(kind, node, cluster, flow) of all `nodes` (kind, node), or of those with an edge; `edges` is (kind, a, b, w), one row per unordered pair.
 
-    Columns of the matrix are sources of flow: entry (i, j) is the flow from j to i.  A node without edges keeps its
-    flow to itself in every round, so only the others are squared.
+    No flow passes between components, so each walks by itself: in one task up to WIDE nodes, by joins beyond.  A node without edges
+    keeps its flow to itself and is its own cluster.
     """
     both = cut_lineage(both_ways(edges.withColumnsRenamed({"a": "i", "b": "j"}), "i", "j"))
+    part = merge_names(both.filter("i < j").select("kind", F.col("i").alias("about"), F.col("j").alias("other")))
+    size = F.count(F.lit(1)).over(Window.partitionBy("kind", "root"))
+    both = cut_lineage(both.join(part.select("kind", F.col("cluster").alias("i"), "root", size.alias("n")), ["kind", "i"]))
+
+    def walk(t: pa.Table) -> pa.Table:
+        names, i = np.unique(np.asarray(t["i"].to_pylist(), object), return_inverse=True)
+        w = np.zeros((len(names), len(names)))
+        w[i, np.searchsorted(names, np.asarray(t["j"].to_pylist(), object))] = t["w"].to_numpy()
+        cluster, flow, rest = walked(w, inflation, prune, rounds)
+        at = cluster >= 0
+        return pa.table({"kind": pa.array([t["kind"][0].as_py()] * int(at.sum())), "node": pa.array(names[at], pa.string()), "cluster": pa.array(names[cluster[at]], pa.string()), "flow": pa.array(flow[at]), "rest": pa.array([rest] * int(at.sum()))})
+
+    out = cut_lineage(both.filter(F.col("n") <= WIDE).groupBy("kind", "root").applyInArrow(walk, "kind string, node string, cluster string, flow double, rest boolean"))
+    if out.filter("not rest").take(1):
+        raise RuntimeError(f"the walk did not stand still within {rounds} rounds")
+    out = out.drop("rest")
+    wide = both.filter(F.col("n") > WIDE).select("kind", "i", "j", "w")
+    if wide.take(1):
+        out = stacked(out, wide_walk(wide, inflation, prune, rounds))
+    if nodes is None:
+        return out
+    alone = nodes.select("kind", "node").distinct().join(both.select("kind", F.col("i").alias("node")).distinct(), ["kind", "node"], "left_anti")
+    return stacked(out, alone.select("kind", "node", F.col("node").alias("cluster"), F.lit(1.0).alias("flow")))
+
+
+def walked(w: np.ndarray, inflation: float, prune: float, rounds: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For each node of one component its cluster, as index of the system's least node (-1: none), its flow, and whether the walk came to rest."""
+    m = w + np.eye(len(w))
+    m /= m.sum(axis=0)
+    before, same = None, 0
+    for _ in range(rounds):
+        m = (m @ m) ** inflation
+        m /= m.sum(axis=0)
+        top = m.max(axis=0)
+        m[(m < prune) & (m < (1 - 1e-9) * top)] = 0
+        real = (m > 0) & (m >= REAL * top)
+        m /= m.sum(axis=0)
+        same = same + 1 if before is not None and (real == before).all() else 0
+        before = real
+        if same >= STILL:
+            break
+    else:
+        return np.arange(len(w)), m.sum(axis=1), False
+    at = np.flatnonzero(real.diagonal())
+    a, b = np.nonzero(real[np.ix_(at, at)])
+    system, which = np.unique(least_of(len(at), a, b), return_inverse=True)
+    share = np.zeros((len(system), len(m)))
+    np.add.at(share, which, np.where(real[at], m[at], 0))
+    cluster = at[system[share.argmax(axis=0)]] if len(at) else np.full(len(m), -1)
+    return np.where(share.max(axis=0, initial=0) > 0, cluster, -1), m.sum(axis=1), True
+
+
+def least_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that the links (a, b) connect it with."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        low = np.minimum(low, low[root])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def wide_walk(both: DataFrame, inflation: float, prune: float, rounds: int) -> DataFrame:
+    """(kind, node, cluster, flow) of components of any size, by joins; `both` is (kind, i, j, w), each edge both ways.
+
+    Columns of the matrix are sources of flow: entry (i, j) is the flow from j to i.
+    """
     joined = both.select("kind", "i").distinct()
     loops = joined.select("kind", "i", F.col("i").alias("j"), F.lit(1.0).alias("w"))
 
@@ -206,8 +281,6 @@ def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation:
         return m.withColumn("v", F.col("v") / F.sum("v").over(column))
 
     m = cut_lineage(scaled(stacked(both, loops).withColumnRenamed("w", "v")).withColumn("real", F.lit(True)))
-    if not m.take(1):
-        return clusters_of(m, nodes)
     before, same = None, 0
     for _ in range(rounds):
         left = m.select("kind", "i", F.col("j").alias("k"), F.col("v").alias("x"))
@@ -225,10 +298,10 @@ def markov_clusters(edges: DataFrame, nodes: DataFrame | None = None, inflation:
             break
     else:
         raise RuntimeError(f"the walk did not stand still within {rounds} rounds")
-    return clusters_of(m, nodes)
+    return clusters_of(m)
 
 
-def clusters_of(m: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def clusters_of(m: DataFrame) -> DataFrame:
     """(kind, node, cluster, flow) read off a matrix at rest: systems of attractors, named by their least node, and the nodes whose flow they get."""
     flow = m.filter("real")
     attractors = flow.filter("i = j").select("kind", "i")
@@ -239,12 +312,7 @@ def clusters_of(m: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     share = fed.join(system, ["kind", "i"]).groupBy("kind", F.col("j").alias("node"), "cluster").agg(F.sum("v").alias("v"))
     placed = share.groupBy("kind", "node").agg(F.min_by("cluster", F.struct(-F.col("v"), F.col("cluster"))).alias("cluster"))
     into = m.groupBy("kind", F.col("i").alias("node")).agg(F.sum("v").alias("flow"))
-    out = placed.join(into, ["kind", "node"], "left").select("kind", "node", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow"))
-    if nodes is None:
-        return out
-    # A column that is at rest has its flow on attractors; a node without edges is its own.
-    alone = nodes.select("kind", "node").distinct().join(m.select("kind", F.col("j").alias("node")).distinct(), ["kind", "node"], "left_anti")
-    return stacked(out, alone.select("kind", "node", F.col("node").alias("cluster"), F.lit(1.0).alias("flow")))
+    return placed.join(into, ["kind", "node"], "left").select("kind", "node", "cluster", F.coalesce("flow", F.lit(0.0)).alias("flow"))
 
 
 def clustered(vectors: DataFrame, kinds: list[str], whole: bool = False) -> tuple[DataFrame, DataFrame] | None:
@@ -519,9 +587,22 @@ def verified(records: DataFrame, groups: DataFrame) -> DataFrame:
 def merge_names(pairs: DataFrame) -> DataFrame:
     """(kind, cluster, root): least name of each connected set of clusters.
 
-    Every round takes the least name among a cluster and its neighbours, then the name that one has by now, so
+    Up to LINKS_IN_TASK pairs, a task for each kind.  Beyond, every round takes the least name among a cluster and its neighbours, then the name that one has by now, so
     distances halve; a written table each round.  Names only fall, so it ends.
     """
+    if pairs.count() <= LINKS_IN_TASK:
+
+        def run(t: pa.Table) -> pa.Table:
+            names = pa.concat_arrays([*t["about"].chunks, *t["other"].chunks]).dictionary_encode()
+            order = pa.compute.sort_indices(names.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code = rank[names.indices.to_numpy()]
+            root = least_of(len(order), code[: len(t)], code[len(t) :])
+            name = names.dictionary.take(pa.array(order))
+            return pa.table({"kind": pa.array([t["kind"][0].as_py()] * len(name)), "cluster": name, "root": name.take(pa.array(root))})
+
+        return pairs.select("kind", "about", "other").groupBy("kind").applyInArrow(run, "kind string, cluster string, root string")
     both = cut_lineage(both_ways(pairs.select("kind", F.col("about").alias("a"), F.col("other").alias("b")), "a", "b").distinct())
     root = both.select("kind", F.col("a").alias("cluster")).distinct().withColumn("root", F.col("cluster"))
     while True:

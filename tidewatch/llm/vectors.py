@@ -146,13 +146,22 @@ def fit_cells(vectors: DataFrame, kinds: list[str], rot: np.ndarray) -> dict[str
         h = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30))
         rows = vectors.filter(F.col("kind") == kind)
         some = rows.filter(h < int((1 << 30) * min(1.0, 2 * want / n + 1e-3)))
-        sample = some.orderBy(h, "key").limit(want).select("vec").toArrow()
-        if not len(sample):
-            sample = rows.orderBy(h, "key").limit(want).select("vec").toArrow()
-        x = unit_rows(sample["vec"]) @ rot
-        centres = kmeans(x, cells)
-        # A cell holds its own vectors and those entered from the cells next to it.
-        share = np.bincount(nearest(x, centres, PROBES).ravel(), minlength=len(centres)) / len(x)
+
+        def fit(batches: Iterator[pa.RecordBatch], cells: int = cells) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if held:
+                x = unit_rows(pa.Table.from_batches(held)["vec"]) @ rot
+                centres = kmeans(x, cells)
+                # A cell holds its own vectors and those entered from the cells next to it.
+                share = np.bincount(nearest(x, centres, PROBES).ravel(), minlength=len(centres)) / len(x)
+                yield pa.RecordBatch.from_arrays([packed(centres.astype(np.float32)), pa.array(share)], names=["centre", "share"])
+
+        # In a task, so the driver gets the centres alone.
+        for source in (some, rows):
+            got = source.orderBy(h, "key").limit(want).select("vec").mapInArrow(fit, "centre binary, share double").toArrow()
+            if len(got):
+                break
+        centres, share = unpacked(got["centre"], np.float32, DIM), got["share"].to_numpy()
         shards = np.maximum(1, np.ceil(share * n / SHARD_ROWS)).astype(np.int64)
         groups = shards * shards
         out[kind] = Cells(centres, shards, np.concatenate([[0], np.cumsum(groups)[:-1]]))
