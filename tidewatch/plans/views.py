@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,10 @@ from .common import CMD, EV, SESS, command_events, events, slim_sessions
 from .tracking import SQL as TRACK
 from .tracking import artifact_burst, behaviour_shift, campaign_convergence, new_entities, operation_emergence
 
+#: Distinct sets of a playbook that a task compares with as many, and how many of them at a time.
+SETS_IN_BLOCK = 16_384
+_TILE = 1_024
+
 
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -307,20 +313,71 @@ def playbook_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Mean Jaccard similarity of the command sets of a playbook's sessions over all its pairs, from pairs of distinct sets and their weights."""
+    """Mean Jaccard similarity of the command sets of a playbook's sessions over all its pairs, from pairs of distinct sets and their weights.
+
+    Sets meet in blocks, and a pair of blocks comes out as one number: pairs are never written down.
+    """
     s = slim_sessions(spark, d, "playbook_id", "command_set").filter("playbook_id is not null")
-    b = s.withColumn("hs", F.array_sort(F.array_distinct(F.array_compact("command_set")))).filter(F.size("hs") > 0).groupBy("playbook_id", "hs").agg(F.count(F.lit(1)).alias("w")).withColumn("id", F.xxhash64("hs"))
-    size = F.size("hs")
-    # Sets meet through the commands they share; pairs that share none add nothing but count.
-    e = b.select("playbook_id", "id", "w", size.alias("z"), F.explode("hs").alias("h"))
-    x, y = e.select("playbook_id", "h", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("z").alias("za")), e.select("playbook_id", "h", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("z").alias("zb"))
-    met = x.join(y, ["playbook_id", "h"]).filter("a < b").groupBy("playbook_id", "a", "b", "wa", "wb", "za", "zb").agg(F.count(F.lit(1)).alias("c"))
-    across = met.groupBy("playbook_id").agg(F.sum(F.col("wa") * F.col("wb") * F.col("c") / (F.col("za") + F.col("zb") - F.col("c"))).alias("sum"))
-    g = b.groupBy("playbook_id").agg(F.sum("w").alias("sessions"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("same"))
+    b = s.withColumn("hs", F.array_sort(F.array_distinct(F.array_compact("command_set")))).filter(F.size("hs") > 0).groupBy("playbook_id", "hs").agg(F.count(F.lit(1)).alias("w"))
+    g = b.groupBy("playbook_id").agg(F.sum("w").alias("sessions"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("same"), F.ceil(F.count(F.lit(1)) / SETS_IN_BLOCK).alias("blocks"))
+    mine = b.join(g.select("playbook_id", "blocks"), "playbook_id").withColumn("mine", F.pmod(F.xxhash64("hs"), F.col("blocks")))
+    met = mine.withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("playbook_id", F.least("mine", "rest").alias("x"), F.greatest("mine", "rest").alias("y"), (F.col("mine") < F.col("rest")).alias("left"), "hs", "w")
+    across = met.groupBy("playbook_id", "x", "y").applyInArrow(_jaccard_sums, "playbook_id string, sum double").groupBy("playbook_id").agg(F.sum("sum").alias("sum"))
     pairs = F.col("sessions") * (F.col("sessions") - 1) / 2
     return g.join(across, "playbook_id", "left").select("playbook_id", "sessions", F.round(F.when(pairs > 0, (F.col("same") + F.coalesce("sum", F.lit(0.0))) / pairs), 6).alias("mean_jaccard"))
 
 
+def _jaccard_sums(t: pa.Table) -> pa.Table:
+    """Sum of weighted Jaccard similarities of all pairs of different sets in a block (x = y), or between two (x < y)."""
+    inside = t["x"][0] == t["y"][0]
+    sets = t["hs"].combine_chunks()
+    codes = sets.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    size = sets.value_lengths().to_numpy().astype(np.int64)
+    w = t["w"].to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(len(size)), size)
+    held = np.bincount(codes, minlength=1)
+    # Commands in many sets are multiplied as a matrix; pairs of sets that share a rarer one are listed.
+    often = held >= max(2, len(size) // 32)
+    column = np.cumsum(often) - 1
+    x = np.zeros((len(size), int(often.sum())), np.float32)
+    at = often[codes]
+    x[row[at], column[codes[at]]] = 1
+    rare = ~at & (held[codes] > 1)
+    order = np.lexsort((row[rare], codes[rare]))
+    rare_row, rare_code = row[rare][order], codes[rare][order]
+    left = np.arange(len(size)) if inside else np.flatnonzero(t["left"].to_numpy(zero_copy_only=False))
+    right = left if inside else np.flatnonzero(~t["left"].to_numpy(zero_copy_only=False))
+    # Of the sets that hold a rare command, each pairs with all of its run.
+    first = np.searchsorted(rare_code, rare_code, "left")
+    last = np.searchsorted(rare_code, rare_code, "right")
+    where = np.full(len(size), -1)
+    where[right] = np.arange(len(right))
+    total = 0.0
+    for i in range(0, len(left), _TILE):
+        some = left[i : i + _TILE]
+        tile = np.full(len(size), -1)
+        tile[some] = np.arange(len(some))
+        mine = np.flatnonzero(tile[rare_row] >= 0)
+        n = last[mine] - first[mine]
+        a = np.repeat(tile[rare_row[mine]], n)
+        b = where[rare_row[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+        a, b = a[b >= 0], b[b >= 0]
+        ordered = np.argsort(b // _TILE, kind="stable")
+        a, b = a[ordered], b[ordered]
+        for j in range(i if inside else 0, len(right), _TILE):
+            others = right[j : j + _TILE]
+            c = (x[some] @ x[others].T).astype(np.float64)
+            lo, hi = np.searchsorted(b // _TILE, [j // _TILE, j // _TILE + 1])
+            if hi > lo:
+                c += np.bincount(a[lo:hi] * len(others) + b[lo:hi] - j, minlength=c.size).reshape(c.shape)
+            if inside and i == j:
+                np.fill_diagonal(c, 0)
+            c /= size[some][:, None] + size[others][None, :] - c
+            total += (w[some] @ c @ w[others]) * (2 if inside and j > i else 1)
+    # Inside a block each pair was counted twice.
+    return pa.table({"playbook_id": t["playbook_id"].slice(0, 1), "sum": pa.array([total / 2 if inside else total])})
+
+
 def novelty_holdout(spark: SparkSession, d: str) -> DataFrame:
     """Leave one label out: how well novelty against the other labels' centroids tells a label's vectors from the rest (rank AUC, ties at their mean rank)."""
     e = table(spark, d, "embeddings").filter(F.col("embedding").isNotNull())
