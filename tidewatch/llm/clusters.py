@@ -359,6 +359,11 @@ def as_floats(col: str) -> F.Column:
     return run(F.col(col))
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A written table, sent to the tasks if it is small, so that a join with it doesn't move the records."""
+    return F.broadcast(df) if df.count() <= LEADERS_IN_MEMORY else df
+
+
 def label(records: DataFrame, groups: DataFrame) -> DataFrame:
     """Records with their cluster; small leader tables are sent to the tasks, large ones joined by shuffle."""
     n = groups.count()
@@ -438,6 +443,8 @@ def check_open(rows: DataFrame, members: DataFrame) -> DataFrame:
     held = members.join(sizes, (members.kind == sizes.kind) & (members.cluster == sizes.about), "left_semi").groupBy("kind", F.col("cluster").alias("about")).agg(F.count(F.lit(1)).alias("nm"))
     plan = cut_lineage(sizes.join(held, ["kind", "about"]).select("kind", "about", F.ceil(F.col("nq") / SHARD_ROWS).alias("sq"), F.ceil(F.col("nm") / SHARD_ROWS).alias("sm")))
 
+    plan = sent(plan)
+
     def shard(df: DataFrame, own: str, other: str) -> DataFrame:
         return df.withColumn("mine", F.pmod(F.xxhash64("key"), F.col(own))).withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
 
@@ -578,8 +585,8 @@ def verified(records: DataFrame, groups: DataFrame) -> DataFrame:
     touching = failed.filter(F.col("about") != F.col("other"))
     if touching.take(1):
         # Clusters that passed touch nobody and stay as they are; only merged ones are checked again.
-        merged = merge_names(touching)
-        labelled = cut_lineage(labelled.join(merged, ["kind", "cluster"], "left").select("kind", "key", F.coalesce("root", "cluster").alias("cluster"), "leads", "vec"))
+        merged = cut_lineage(merge_names(touching))
+        labelled = cut_lineage(labelled.join(sent(merged), ["kind", "cluster"], "left").select("kind", "key", F.coalesce("root", "cluster").alias("cluster"), "leads", "vec"))
         good = stacked(good, passed(*checked(labelled, merged.select("kind", F.col("root").alias("cluster")).distinct())))
     return labelled.join(cut_lineage(good), ["kind", "cluster"]).select("kind", "key", "cluster").distinct()
 
